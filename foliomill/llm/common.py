@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -101,3 +102,9 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
 def utf8(array: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that no plan refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
