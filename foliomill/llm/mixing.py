@@ -33,7 +33,7 @@ from .common import discard, settle
 
 # Byte strings that are frequent in some European language and rare in another.
 EVIDENCE_STRINGS = (" the ", "th", "ing", "sch", "ch", "ei", "ung", "eu", "eau", "que", "ou", "ción", "os", "ado", "é", "ó", "ü", "ñ")
-EVIDENCE = 40.0
+EVIDENCE = 8.0
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 ROUNDS = 40
 WRITE_EVERY = 6
@@ -41,10 +41,12 @@ TOLERANCE = 1e-6
 
 
 def evidence(text: Column, strings: tuple[str, ...] = EVIDENCE_STRINGS) -> Column:
-    """array<double>: how often each string occurs in the text, without overlaps."""
+    """array<double>: how often each string occurs in the text, without overlaps.
+
+    A transform over the strings: a plain array of counts would be pasted into every use of its items.
+    """
     size = F.octet_length(text)
-    gone = [(size - F.octet_length(F.replace(text, F.lit(s), F.lit("")))) / F.lit(float(len(s.encode()))) for s in strings]
-    return F.array(*gone)
+    return F.transform(F.array(*[F.lit(s) for s in strings]), lambda s: (size - F.octet_length(F.replace(text, s, F.lit("")))) / F.octet_length(s).cast("double"))
 
 
 def token_count(text: Column) -> Column:
@@ -57,17 +59,17 @@ class Classifier:
     def __init__(self, names: list[str], prior: list[float], weights: list[list[float]]):
         self.names, self.prior, self.weights = names, prior, weights
 
-    def posterior(self, x: Column) -> Column:
-        """array<double> over names, from an evidence column."""
+    def with_posterior(self, rows: DataFrame, x: str, out: str) -> DataFrame:
+        """rows with the posterior over names, array<double>, from the evidence column x."""
         total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(total, F.lit(1.0)))
-        logs = []
-        for prior, own in zip(self.prior, self.weights, strict=True):
-            dot = sum((F.get(x, k) * F.lit(w) for k, w in enumerate(own)), F.lit(0.0))
-            logs.append(F.lit(prior) + scale * dot)
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        e = [F.exp(v - top) for v in logs]
-        return F.transform(F.array(*e), lambda v: v / sum(e[1:], e[0]))
+        scaled = F.transform(x, lambda v: v * F.col("_fm_scale"))
+        models = F.array(*[F.struct(F.lit(p).alias("prior"), F.array(*[F.lit(w) for w in own]).alias("w")) for p, own in zip(self.prior, self.weights, strict=True)])
+        dot = lambda m: F.aggregate(F.zip_with("_fm_scaled", m["w"], lambda a, b: a * b), m["prior"], lambda a, b: a + b)
+        rows = rows.withColumn("_fm_scale", F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(total, F.lit(1.0))))
+        rows = rows.withColumn("_fm_scaled", scaled).withColumn("_fm_logs", F.transform(models, dot))
+        rows = rows.withColumn("_fm_e", F.transform("_fm_logs", lambda v: F.exp(v - F.array_max("_fm_logs"))))
+        rows = rows.withColumn(out, F.transform("_fm_e", lambda v: v / F.aggregate("_fm_e", F.lit(0.0), lambda a, b: a + b)))
+        return rows.drop("_fm_scale", "_fm_scaled", "_fm_logs", "_fm_e")
 
 
 def fit_classifier(rows: DataFrame) -> Classifier | None:
@@ -85,10 +87,6 @@ def fit_classifier(rows: DataFrame) -> Classifier | None:
     return Classifier([r["domain"] for r in got], [math.log(r["n"] / whole) for r in got], weights)
 
 
-def _dot(p: Column, values: list[float]) -> Column:
-    return sum((F.get(p, k) * F.lit(float(v)) for k, v in enumerate(values)), F.lit(0.0))
-
-
 class Rates:
     """The fitted steps: a document's rate follows from its posterior alone."""
 
@@ -144,7 +142,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     model = fit_classifier(base.join(known, F.col("id") == F.col("l_id")).select("domain", "x"))
     if model is None:
         return None, None, base
-    compact = settle(base.select("id", "tokens", model.posterior(F.col("x")).alias("p")), "posteriors")
+    compact = settle(model.with_posterior(base, "x", "p").select("id", "tokens", "p"), "posteriors")
     discard(base)
     return model, fit_rates(compact.select("tokens", "p"), model.names, targets, low, total), compact
 
@@ -169,8 +167,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
         return docs
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", evidence(text).alias("_fm_x"))
-    rated = keyed.select(*columns, rates.of(model.posterior(F.col("_fm_x"))).alias("_fm_rate"))
+    keyed = model.with_posterior(docs.withColumn("_fm_x", evidence(text)), "_fm_x", "_fm_p")
+    rated = keyed.select(*columns, rates.of(F.col("_fm_p")).alias("_fm_rate"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("mixing")), F.lit(1 << 20)) / float(1 << 20)
     uses = F.floor(F.col("_fm_rate")).cast("int") + (draw < F.col("_fm_rate") - F.floor(F.col("_fm_rate"))).cast("int")
     return rated.select(*columns, F.explode(F.array_repeat(F.lit(1), uses)).alias("_fm_use")).select(*columns)

@@ -184,11 +184,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "v
     def meet(pairs: DataFrame) -> DataFrame:
         """Each annulus with each block of the queries that reach it."""
         pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-        pairs = pairs.select("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "qv")
+        pairs = pairs.select(F.col("part").alias("at"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("asking"), "query_id", "qv")
         pairs = settle(pairs, "pairs")
-        live = pairs.select("part", "block").distinct()
+        live = pairs.select(F.col("at").alias("part"), F.col("asking").alias("block")).distinct()
         held = index.select("part", "id", "v").join(live, "part").select("part", "block", "id", "v")
-        found = held.groupBy("part", "block").cogroup(pairs.groupBy("part", "block")).applyInPandas(_segment_search(width, k), "query_id long, vec_id long, score long")
+        found = held.groupBy("part", "block").cogroup(pairs.groupBy("at", "asking")).applyInPandas(_segment_search(width, k), "query_id long, vec_id long, score long")
         return settle(found, "found")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "part")
