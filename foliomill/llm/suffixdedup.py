@@ -13,8 +13,8 @@ WINDOW / 2 bytes.
   3. Groups with several distinct contexts are judged by suffix order. Contexts are lined up at their anchor and cut at
      every column where two of them begin or cease to agree; equal blocks between cuts get equal symbols. The suffix
      array of these symbol strings, with common prefixes measured in bytes, gives the longest repeat from each cut.
-  4. Groups with more than GROUP_LIMIT distinct contexts, which one task must not hold, are judged window by window:
-     a row per window digest, counted with partial aggregation. This is exact as well.
+  4. Groups with more than GROUP_LIMIT distinct contexts, which one task must not hold, are judged by ranges of window
+     offsets, coarse to fine, from digests that are counted with partial aggregation. This is exact as well.
 
 The suffix array is made by linear grouping (suffix_array): suffixes are grouped by first symbol; groups are taken in
 descending order, every member finds its previous smaller suffix by pointer jumping, and the suffixes pointed at move
@@ -44,6 +44,7 @@ WINDOW = 400
 GRAM = 48
 SEGMENT = 1 << 21  # bytes that are hashed at a time
 GROUP_LIMIT = 256
+LEVELS = (32, 8, 1)  # window offsets in a range, where a group is too large for one task
 SYMBOLS = 100_000  # symbols that are sorted at a time
 NO_ID = -(2**63)
 
@@ -328,19 +329,65 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(did[r]), pa.array(tx[r]), pa.array(start[r] + a), pa.array(start[r] + b)], ["did", "tx", "a", "b"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each context: (h, offset, digest, did, tx, a, once)."""
-    for batch in batches:
-        start, anchor, last = _unpack(batch.column("pos").to_numpy())
-        bodies = batch.column("body").to_pylist()
-        r = np.repeat(np.arange(len(bodies)), last + 1)
-        step = np.arange(len(r)) - np.repeat(np.cumsum(last + 1) - (last + 1), last + 1)
-        digests = [hashlib.blake2b(bodies[i][k : k + WINDOW], digest_size=8).digest() for i, k in zip(r.tolist(), step.tolist(), strict=True)]
-        at = lambda c: pa.array(batch.column(c).to_numpy()[r])
-        yield pa.RecordBatch.from_arrays(
-            [at("h"), pa.array(anchor[r] - step), pa.array(np.frombuffer(b"".join(digests), dtype="<i8")), at("did"), at("tx"), pa.array(start[r] + step), pa.array(batch.column("n").to_numpy()[r] == 1)],
-            ["h", "offset", "digest", "did", "tx", "a", "once"],
-        )
+def _ranges(size: int):
+    """A row for each range of window offsets that a context owns part of: (h, u, core, full, did, tx, pos, once).
+
+    Offsets u to u + size - 1 (bytes before the anchor). core digests the bytes that all windows of the range share,
+    full those that any of them covers; a context that does not own the whole range gets a full of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            start, anchor, last = (x.tolist() for x in _unpack(batch.column("pos").to_numpy()))
+            bodies = batch.column("body").to_pylist()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("h", "did", "tx", "pos", "once", "u", "span")), strict=True)
+            for k, (h, did, tx, pos, once, u0, span) in enumerate(keys):
+                body, at, low = bodies[k], anchor[k], anchor[k] - last[k]
+                for u in range(u0, u0 + span, size):
+                    v = u + size - 1
+                    if u > at or v < low:
+                        continue
+                    core = hashlib.blake2b(body[at - u : at + WINDOW - v], digest_size=8).digest()
+                    whole = body[at - v : at + WINDOW - u] if u >= low and v <= at else b"%d %d %d" % (did, tx, pos)
+                    full = hashlib.blake2b(whole, digest_size=8).digest()
+                    out.append((h, u, int.from_bytes(core, "little", signed=True), int.from_bytes(full, "little", signed=True), did, tx, pos, once))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 7 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "u", "core", "full", "did", "tx", "pos", "once"])
+
+    return run
+
+
+def _split_groups(contexts: DataFrame) -> DataFrame:
+    """Spans of large groups: (did, tx, a, b). contexts: (h, n, did, tx, pos, body).
+
+    Ranges of window offsets are cut finer level by level. Contexts with the same full bytes of a range repeat all
+    its windows. Contexts with a core that no other has repeat none. Where contexts share a core and differ in full,
+    the range is cut finer; each class of equal contexts goes on as one. A passage has two ends, so about two ranges
+    of a context go on, and no task gathers a group.
+    """
+    base = settle(contexts.select("h", "did", "tx", "pos", (F.col("n") == 1).alias("once"), F.lit(0).cast("long").alias("u"), F.lit(WINDOW).cast("long").alias("span"), "body"), "large")
+    now, found = base, None
+    for size in LEVELS:
+        rows = settle(now.mapInArrow(_ranges(size), "h long, u long, core long, full long, did long, tx long, pos long, once boolean"), "ranges")
+        classes = settle(rows.groupBy("h", "u", "core", "full").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("did", "tx", "pos", "once")).alias("one")), "classes")
+        whole = rows.filter("once").join(classes.filter("k > 1").select("h", "u", "full"), ["h", "u", "full"], "left_semi")
+        anchor = F.shiftright("pos", 20) + F.shiftright("pos", 10).bitwiseAND(F.lit(1023))
+        spans = settle(whole.select("did", "tx", (anchor - F.col("u") - (size - 1)).alias("a"), (anchor - F.col("u") + WINDOW).alias("b")), "spans")
+        found = spans if found is None else found.unionByName(spans)
+        discard(rows)
+        if size == 1:
+            discard(classes)
+            break
+        mixed = settle(classes.groupBy("h", "u", "core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "u", "core"), "mixed")
+        on = classes.join(mixed, ["h", "u", "core"], "left_semi").select("h", "u", "one.did", "one.tx", "one.pos", (F.col("one.once") & (F.col("k") == 1)).alias("once"), F.lit(size).cast("long").alias("span"))
+        last, now = now, settle(on.join(base.select("h", "did", "tx", "pos", "body"), ["h", "did", "tx", "pos"]), "unsettled")
+        if last is not base:
+            discard(last)
+        discard(classes)
+        discard(mixed)
+    return found
 
 
 # --- the operator ----------------------------------------------------------------------------------------------------
@@ -372,12 +419,7 @@ def repeated_spans(rows: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     spans = whole.unionByName(parts)
     many = contexts.filter(F.col("m") > group_limit)
     if not several.filter(F.col("m") > group_limit).isEmpty():
-        windows = settle(many.select("h", "n", "did", "tx", "pos", "body").mapInArrow(_windows, "h long, offset long, digest long, did long, tx long, a long, once boolean"), "windows")
-        twice = settle(windows.groupBy("h", "offset", "digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "offset", "digest"), "twice")
-        hot = windows.filter("once").join(twice, ["h", "offset", "digest"], "left_semi").select("did", "tx", "a", (F.col("a") + WINDOW).alias("b"))
-        spans = spans.unionByName(settle(hot, "hot"))
-        discard(windows)
-        discard(twice)
+        spans = spans.unionByName(_split_groups(many))
     discard(several)
     discard(contexts)
     release(spark)
