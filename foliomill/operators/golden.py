@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 
@@ -56,7 +57,7 @@ def nearest(a: DataFrame, b: DataFrame, key: str, band: int = 40) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks as a share of all characters; there is no built-in for it."""
     from difflib import SequenceMatcher

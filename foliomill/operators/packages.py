@@ -12,9 +12,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """A relative reference as a path inside the package. Path arithmetic has no built-in."""
     return pd.Series([posixpath.normpath(posixpath.join(b or "", h or "")) for b, h in zip(base, href, strict=True)], dtype="object")
@@ -69,7 +70,7 @@ def dangling(refs: DataFrame, entries: DataFrame) -> DataFrame:
     return target.join(entries.select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*_issue("error", "dangling-ref", F.col("ref"))).distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xml_fault(content: pd.Series) -> pd.Series:
     """malformed, not-html or null for XHTML bytes or text; well-formedness needs a parser."""
     from xml.etree import ElementTree as ET

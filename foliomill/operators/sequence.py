@@ -8,10 +8,14 @@ from pyspark.sql.window import Window as W
 
 from foliomill.functions import fixed as X
 
-RUNNING = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
 FRONT = "（前言）"
 
 
+def running():
+    """A document's rows up to the current one."""
+    return W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+
+
 def chapters(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, block_id, text, chapter, title of the blocks that chapters hold.
 
@@ -22,7 +26,7 @@ def chapters(blocks: DataFrame) -> DataFrame:
     is_top = (F.col("type") == "heading") & (F.coalesce("level", F.lit(1)) <= F.col("top")) & (F.trim("text") != "")
     story = F.col("matter").isin(*X.STORY_MATTER)
     rows = blocks.withColumn("top", top).withColumn("is_top", is_top).withColumn("opens", F.col("is_top") & story)
-    rows = rows.withColumn("chapter", F.sum(F.col("opens").cast("int")).over(RUNNING))
+    rows = rows.withColumn("chapter", F.sum(F.col("opens").cast("int")).over(running()))
     rows = rows.filter(F.col("opens") | (~F.col("is_top") & F.col("translatable") & story))
     title = F.first(F.when(F.col("opens"), F.trim("text")), ignorenulls=True).over(W.partitionBy("doc_id", "chapter"))
     return rows.withColumn("title", F.when(F.col("chapter") == 0, FRONT).otherwise(title)).select("doc_id", "ord", "block_id", "text", "chapter", "title")
@@ -37,7 +41,7 @@ def chapter_texts(rows: DataFrame, limit: int) -> DataFrame:
 
 def render_chapters(blocks: DataFrame) -> DataFrame:
     """The other chapter rule, for output: every heading opens one; an empty leading part is dropped."""
-    return blocks.withColumn("part", F.sum((F.col("type") == "heading").cast("int")).over(RUNNING))
+    return blocks.withColumn("part", F.sum((F.col("type") == "heading").cast("int")).over(running()))
 
 
 def batches(items: DataFrame, max_chars: int = 2400, max_items: int = 24) -> DataFrame:

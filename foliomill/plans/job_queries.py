@@ -119,7 +119,7 @@ def repair_rounds(spark, sf):
     def engine(p: pd.DataFrame, strict: bool) -> pd.DataFrame:
         turn = p["seg_id"].str.split(":").str[1].astype(int)
         text = "tr " + p["text"]
-        text = text.where(turn % 10 != 9, "").where(strict | (turn % 3 != 0), p["text"].where(p["text"].str.len() >= 20, ""))
+        text = text.where(turn % 10 != 9, "").where(strict | (turn % 3 != 0), p["text"].where(p["text"].str.len() >= 60, ""))
         return pd.DataFrame({"seg_id": p["seg_id"], "translation": text})
 
     items = pairs(spark, sf).select(F.col("conv_id").alias("batch"), "seg_id", F.col("source").alias("text"))

@@ -18,13 +18,19 @@ KATAKANA_FROM, KATAKANA_TO = "aei", "アエイ"
 PATHS = ("p-cover", "p-fmatter-001", "p-toc-001", "p-001", "p-002", "p-003", "p-afterword", "p-allcover-001", "p-colophon", "p-promo", "x", "")
 LINES_PER_PAGE = 40
 
-DOC = T.StructType.fromDDL("doc_id string, title string, author string, publisher string, source_lang string, origin string, vertical boolean, ruby_dropped int, page_count int, spine_docs int")
-BLOCK = T.StructType.fromDDL(
+# Schemas as DDL: parsing one needs a session, and importing this module must not.
+DOC = "doc_id string, title string, author string, publisher string, source_lang string, origin string, vertical boolean, ruby_dropped int, page_count int, spine_docs int"
+BLOCK = (
     "doc_id string, ord int, block_id string, type string, level int, text string, spans array<struct<kind:string,text:string>>, src string,"
     " source_ref string, path string, caption string, matter string, rows array<array<string>>, cell_spans array<array<array<int>>>, note_id string, refs array<string>"
 )
-TOC = T.StructType.fromDDL("doc_id string, pos int, level int, title string, href string, block_id string")
-BOOK = T.StructType([T.StructField("schema_version", T.StringType()), T.StructField("doc", DOC), T.StructField("toc", T.ArrayType(TOC)), T.StructField("blocks", T.ArrayType(BLOCK))])
+TOC = "doc_id string, pos int, level int, title string, href string, block_id string"
+
+
+def book_schema() -> T.StructType:
+    """One book as nested JSON."""
+    field, parse = T.StructField, T.StructType.fromDDL
+    return T.StructType([field("schema_version", T.StringType()), field("doc", parse(DOC)), field("toc", T.ArrayType(parse(TOC))), field("blocks", T.ArrayType(parse(BLOCK)))])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """Books as nested JSON, one file each; a file that does not fit the schema stops the read."""
-    return spark.read.schema(BOOK).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(book_schema()).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def by_doc(*order: str) -> W:
