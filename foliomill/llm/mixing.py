@@ -33,7 +33,7 @@ from .common import discard, settle
 
 # Byte strings that are frequent in some European language and rare in another.
 EVIDENCE_STRINGS = (" the ", "th", "ing", "sch", "ch", "ei", "ung", "eu", "eau", "que", "ou", "ción", "os", "ado", "é", "ó", "ü", "ñ")
-EVIDENCE = 8.0
+EVIDENCE = 3.0
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 ROUNDS = 40
 WRITE_EVERY = 6

@@ -58,4 +58,4 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_best_fit_packing, op4_url_filter, op5_language_id, op6_simhash, op7_exact_dedup, op8_warc, op9_suffix_dedup, op10_exact_topk)}
 
-ORACLES = {"op7_exact_dedup": exactdedup.ORACLE, "op10_exact_topk": topk.ORACLE}
+ORACLES = {"op7_exact_dedup": exactdedup.ORACLE, "op8_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}

@@ -110,3 +110,20 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
     path = path or fresh_path(spark, "archive")
     write_archive(pages, path, min_bytes=min_bytes)
     return read_digests(spark, path)
+
+
+def _oracle() -> str:
+    """SQL for archive_round_trip over the table pages."""
+    bits = [f"CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER)" for g in range(8)]
+    letters = " || ".join(f"substr('{BASE32}', (({b} >> {shift}) & 31) + 1, 1)" for b in bits for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, sha256(body) AS s FROM p),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS best FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {letters} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN NULL ELSE best END AS refers_to
+FROM b
+"""
+
+
+ORACLE = _oracle()

@@ -1,0 +1,341 @@
+import base64
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foliomill.llm import langid, mixing, packing, topk, toxicity, urlfilter, warc
+
+
+def fold(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 5
+
+
+# --- toxicity --------------------------------------------------------------------------------------------------------
+
+
+def toxic_corpus(n=500):
+    rng = random.Random(5)
+    nice = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su") for b in ("na", "ki", "mo", "ve", "du", "pe")]
+    rude = ["blarg", "snork", "grumf"]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = [rng.choice(nice) for _ in range(rng.randrange(8, 60))]
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(rude))
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+DOCS = "doc_id long, text string, lang string, score string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_toxicity_learns_and_handles_odd_rows(spark):
+    rows, labels = toxic_corpus()
+    odd = [(None, "blarg blarg snork blarg", None, None), (9001, None, None, None), (9002, "", None, None), (9003, "x " * 50000, None, None), (3, rows[3][1], None, None)]
+    docs = spark.createDataFrame(rows + odd, DOCS)
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (7, None, None), (7, 1, 0)], LABELS)
+    got = toxicity.classify(docs, lab).collect()
+    assert len(got) == len(rows) + len(odd)
+    for r in got:
+        assert r.held_out == (fold(r.doc_id) == 0) and 0.0 <= r.score <= 1.0 and r.predicted == int(r.score >= 0.5)
+    held = [(r.predicted, r.doc_id % 4 == 0) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 9000]
+    assert np.mean([p == t for p, t in held]) > 0.95
+    kept = toxicity.reject(docs, toxicity.fit(docs, lab))
+    assert kept.columns == docs.columns and 9001 in {r.doc_id for r in kept.collect()}
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a", "en", None)], DOCS)
+    none = spark.createDataFrame([], LABELS)
+    assert [(r.score, r.predicted) for r in toxicity.classify(docs, none).collect()] == [(0.0, 0)]
+    one = spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS)
+    assert toxicity.classify(docs, one).first().predicted == 0
+    assert toxicity.classify(docs.limit(0), one).count() == 0
+
+
+def test_isotonic_is_monotone_and_exact():
+    x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
+    kx, ky = toxicity.isotonic(x, y, np.ones(5))
+    assert ky.tolist() == [0.0, 0.5, 1.0] and kx.tolist() == [1.0, 2.5, 4.5]
+
+
+def test_disguised_words():
+    assert toxicity._plain("1d10t") == "idiot" and toxicity._plain("s.t.u.p.i.d") == "stupid"
+    x = dict(zip(toxicity.FEATURES, toxicity.features("you 1d10t, you!!", {"idiot": 3.0}, {}), strict=True))
+    assert x["hidden_density"] > 0 and x["near_second"] > 0 and x["exclamations"] > 0
+
+
+# --- language ID -----------------------------------------------------------------------------------------------------
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    words = {"aa": ["kala", "mala", "tapa", "sana", "paka"], "bb": ["ströf", "grüb", "zwölk", "prünz", "schtö"], "cc": ["uiou", "eiue", "ouie", "ieoo", "aeui"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 40))), lang, "x") for i, lang in zip(range(300), itertools.cycle(words), strict=False)]
+    odd = [(900, None, "aa", "x"), (901, "", None, "x"), (902, "12 34 !!", "bb", "x"), (903, "KALA MALA", None, "x"), (None, "kala tapa sana", "aa", "x"), (1, rows[1][1], "bb", "x"), (904, "kala " * 300000, None, "x")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, lang_pred string")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows) + len(odd)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == lang for i, _, lang, _ in rows)
+    assert [by[i].lang_pred for i in (900, 901, 902, 903, 904, None)] == ["und", "und", "und", "aa", "aa", "aa"]
+    assert all(r.held_out == (fold(r.doc_id) == 0) and 0.0 <= r.score <= 1.0 for r in got)
+    assert langid.identify(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_grams_against_plain_counting(monkeypatch):
+    def plain(text):
+        c = "".join(ch if ch.isalpha() else " " for ch in text.lower())
+        words, n = c.split(), {}
+        for w in words:
+            for k in (1, 2, 3):
+                p = w if k == 1 else f" {w} "
+                for i in range(len(p) - k + 1):
+                    g = p[i : i + k]
+                    if g.strip() and " " not in g[1:-1]:
+                        n[g] = n.get(g, 0) + 1
+        return n
+
+    code = lambda g: sum(ord(ch) << (21 * i) for i, ch in enumerate(g))
+    for text in ("", "a", "Ab ba-b, É x", "the the then 3 other ß", "ö" * 50):
+        for piece in (1 << 20, 8):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            grams, counts = langid.gram_counts(text)
+            if piece > 100 or " " in text:
+                want = {code(g): k for g, k in plain(text).items()}
+                if piece > 100:
+                    assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_out_of_place():
+    p = np.array([5, 9, 7])
+    assert langid.out_of_place(np.array([5, 9, 7]), p, 10) == 0.0
+    assert langid.out_of_place(np.array([9, 5]), p, 10) == pytest.approx(0.1)
+    assert langid.out_of_place(np.array([1]), p, 10) == 1.0
+    t = langid._Profiles({"x": np.array([ord("a"), ord("b")])}, 400)
+    assert t.predict("a")[1] == pytest.approx(1 - langid.out_of_place(langid.ranked(*langid.gram_counts("a")), np.array([ord("a"), ord("b")]), 400))
+
+
+# --- URL filter ------------------------------------------------------------------------------------------------------
+
+
+def brute_rule(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, tail = rest[:cut], rest[cut:]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+    best = None
+    for said, rule in urlfilter.RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (said, rule)
+    return host, path, best
+
+
+URLS = [
+    "https://a.example.net/en/1?x=/de/", "http://A.Example.NET/de/1", "https://net/x", "https://net", "https://xnet/", "https://a.org/fr/9#t", "https://a.org/de/9", "https://example.com/de/", "https://example.com/dex",
+    "ftp://u@h.org:80/fr/", None, "", "no scheme", "https://", "://net/a://b", "https://sub.b.example.com/de/a?b#c", "https://É.org/fr/x", "https://x.net?/en/", "https://casino.example.com/en/" + "y" * 5000,
+]
+
+
+def test_url_rules_and_verdicts(spark):
+    rng = random.Random(4)
+    train = [f"https://{rng.choice(['aa', 'bb', 'cc'])}{rng.randrange(99)}.{d}" for d in ["example.net/en/good", "shop.net/bad", "x.org/fr/good", "example.com/de/bad"] for _ in range(60)]
+    rows = [(i, u, "x") for i, u in enumerate(URLS + train)] + [(0, URLS[0], "x"), (None, URLS[1], "x")]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    for i, u, _ in rows:
+        host, path, rule = brute_rule(u)
+        r = by[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule[1] if rule else None), u
+        assert r.verdict == rule[0] if rule else r.verdict in ("allow", "block")
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_model_separates(spark):
+    good = [f"https://s{i}.example.net/en/article-{i}" for i in range(200)]
+    bad = [f"https://s{i}.zz.net/win-cash-now-{i}" for i in range(200)]
+    test = [f"https://q{i}.other.com/en/article-{i}" for i in range(20)] + [f"https://q{i}.other.com/win-cash-now-{i}" for i in range(20)]
+    rows = [(i, u) for i, u in enumerate(good + bad + test)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert np.mean([got[400 + i] == ("allow" if i < 20 else "block") for i in range(40)]) > 0.9
+
+
+def test_markov_probabilities_sum_to_one():
+    m = urlfilter.Markov({"": {"a": 3, "b": 1}, "a": {"a": 1, "b": 2}})
+    for context in ("", "a", "xa", "b"):
+        seen = m.probability(context, "a") + m.probability(context, "b")
+        assert seen + (urlfilter.ALPHABET - 2) * m.probability(context, "z") == pytest.approx(1.0)
+
+
+# --- WARC ------------------------------------------------------------------------------------------------------------
+
+PAGES = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, "é"), (4, "http://c/\r\nX: y", None), (5, "http://d/", ""), (6, "http://e/", "big " * 40000), (6, "http://e/", "big " * 40000), (None, "http://n/", "lone"), (None, "http://n/", "<p>x</p>")]
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc_round_trip(spark, tmp_path, least):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("sha256", F.lit("clash"))
+    path = f"file://{tmp_path}/archive"
+    got = warc.archive_round_trip(df, path, least).collect()
+    assert len(got) == len(PAGES)
+    body = lambda h: (h or "").encode()
+    best = {}
+    for i, _, h in PAGES:
+        best[body(h)] = max([x for x in (best.get(body(h)), i) if x is not None], default=None)
+    want = []
+    for i, _, h in PAGES:
+        b = body(h)
+        response = len(b) < least or i == best[b]
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if response else "revisit", None if response else best[b]))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    records = warc.read_records(spark, path).collect()
+    assert len(records) == len(PAGES)
+    assert sorted(bytes(r.payload) for r in records) == sorted(body(h) for _, _, h in PAGES)
+    for r in records:
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
+        assert rest == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and length == len(rest) - 4
+    assert spark.read.parquet(f"{path}/payloads").select("sha256").distinct().count() == len(best)
+
+
+def test_warc_empty(spark, tmp_path):
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
+
+
+# --- top-k -----------------------------------------------------------------------------------------------------------
+
+
+def brute_top(rows, queries, k=5):
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for qi in sorted({i for i in queries}):
+        own = min((v for i, v in ok if i == qi), default=None)
+        if own is None:
+            continue
+        scored = sorted(((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in ok if i != qi))[:k]
+        out += [(qi, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return out
+
+
+@pytest.mark.parametrize("segment", [topk.SEGMENT, 16])
+def test_top_k_is_exact(spark, monkeypatch, segment):
+    monkeypatch.setattr(topk, "SEGMENT", segment)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(segment)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(260)]
+    rows += [(300 + i, rows[7][1]) for i in range(90)] + [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (None, [1.0] * 8), (50, rows[50][1]), (700, []), (750, [30000.0] * 8), (751, [-0.001] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
+    got = sorted(map(tuple, topk.top_k(df).collect()))
+    assert got == brute_top(rows, [i for i, _ in rows if i is not None and i % 50 == 0])
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_fewer_than_k(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def brute_pack(lengths, sources, clusters, capacity, per):
+    bins, out = [], []
+    for n, s, c in zip(lengths, sources, clusters, strict=True):
+        fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and b["s"].count(s) < per and c not in b["c"]]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"left": capacity, "s": [], "c": set()})
+        out.append((k, capacity - bins[k]["left"]))
+        bins[k]["left"] -= n
+        bins[k]["s"].append(s)
+        bins[k]["c"].add(c)
+    return out
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(6)
+    for per in (1, 2, 4):
+        for _ in range(30):
+            n = rng.randrange(1, 80)
+            lengths = sorted((rng.randrange(1, 101) for _ in range(n)), reverse=True)
+            s, c = [rng.randrange(4) for _ in range(n)], [rng.randrange(1 + n // 2) for _ in range(n)]
+            assert packing.best_fit(lengths, s, c, 100, per) == brute_pack(lengths, s, c, 100, per)
+
+
+def test_pack_covers_everything(spark):
+    rng = random.Random(8)
+    texts = ["w " * rng.randrange(0, 300) for _ in range(120)] + ["same text here"] * 30 + [None, "", "w " * 1000, "W " * 1000]
+    rows = [(i, t, None if i % 9 == 0 else f"s{i % 3}") for i, t in enumerate(texts)] + [(5, texts[5], "s2"), (5, texts[5], "s2"), (None, "null id", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("bin", F.lit("clash"))
+    got = packing.pack(df, capacity=256, per_source=2, shard=40).collect()
+    size = {}
+    for r in got:
+        if r.bin is not None:
+            size.setdefault((r["shard"], r["bin"]), []).append(r)
+    for members in size.values():
+        members.sort(key=lambda r: r.bin_offset)
+        at = 0
+        for r in members:
+            assert r.bin_offset == at
+            at += r.n_tokens
+        assert at <= 256
+        own = [texts[r.doc_id].lower() if r.doc_id is not None else "n" for r in members]
+        assert len(set(own)) == len(own)
+    per_row = {}
+    for r in got:
+        per_row.setdefault((r.doc_id, r.copy), []).append((r.start, r.n_tokens))
+    assert len(per_row) == len(rows)
+    for (i, _), parts in per_row.items():
+        want = len((texts[i] or "").split()) if i is not None else 2
+        assert sum(n for _, n in parts) == want and [s for s, _ in sorted(parts)] == list(range(0, max(1, want), 256))[: len(parts)]
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------------------------------------------------
+
+
+def test_rates_meet_targets(spark):
+    words = {"en": "the thing with the other thing", "de": "schein auf die einung ich", "fr": "que eau leurs eaux que ouest", "es": "ción los ados ción niño"}
+    rows = [(i, (words[lang] + " ") * (1 + i % 5), lang) for i, lang in zip(range(200), itertools.cycle(["en", "en", "en", "de", "fr", "es"]), strict=False)]
+    rows += [(900, None, "en"), (901, "", None), (902, "zzz", None), (3, rows[3][1], "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rate", F.lit("clash"))
+    labelled = df.filter("doc_id % 7 < 4 and lang is not null").select("doc_id", "lang")
+    got = mixing.mix(df, labelled, {"en": 1, "de": 1, "fr": 1, "es": 1}).collect()
+    assert len(got) == len(rows) and all(r.rate >= 0 for r in got)
+    total = sum(r.n_tokens for r in got)
+    for d in ("en", "de", "fr", "es"):
+        assert sum(r.rate * r.n_tokens * r.posterior[d] for r in got) == pytest.approx(total / 4, rel=1e-3)
+    up = mixing.mixed(df, labelled, {"en": 1, "de": 1, "fr": 1, "es": 1})
+    assert up.columns == df.columns
+    counts = {r.doc_id: r["n"] for r in up.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(counts) == {i for i, _, _ in rows}
+
+
+def test_mixing_without_labels(spark):
+    df = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    none = df.limit(0).select("doc_id", "lang")
+    assert [(r.n_tokens, r.rate) for r in mixing.mix(df, none).collect()] == [(2, 1.0)]
+    assert mixing.mix(df.limit(0), none).count() == 0
+    assert mixing.mixed(df, none).count() == 1
+
+
+def test_projection_to_the_least_rate(spark):
+    rows = [(1, "the thing the thing", "en"), (2, "que eau que eau", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rate for r in mixing.mix(df, df.select("doc_id", "lang"), {"fr": 1.0}).collect()}
+    assert got[1] == pytest.approx(0.0, abs=1e-2) and got[2] == pytest.approx(2.0, rel=1e-2)
