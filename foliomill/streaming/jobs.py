@@ -35,6 +35,38 @@ def job_changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id").applyInPandasWithState(step, schema, "status string, progress double", "append", GroupStateTimeout.NoTimeout)
 
 
+def watch(stream: DataFrame, terminal: tuple[str, ...] = ("done", "failed", "cancelled"), timeout_ms: int = 3_600_000) -> DataFrame:
+    """A job's changes, and one end event: when it reaches a terminal status, or when nothing came for the timeout.
+
+    job_id, event (progress or end), status, progress, reason (finished or timeout). Nothing follows an end. A query
+    with processing-time timeouts runs until it is stopped, under any trigger.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, progress, ended = state.get if state.exists else (None, None, False)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "end", status, progress, "timeout"))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("seq")
+            for now, at in zip(rows["status"], rows["progress"], strict=True):
+                if ended or (now, at) == (status, progress):
+                    continue
+                status, progress = now, float(at)
+                out.append((key[0], "progress", status, progress, None))
+                if status in terminal:
+                    ended = True
+                    out.append((key[0], "end", status, progress, "finished"))
+            state.update((status, progress, ended))
+            if not ended:
+                state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(out, columns=["job_id", "event", "status", "progress", "reason"])
+
+    schema = "job_id long, event string, status string, progress double, reason string"
+    return stream.groupBy("job_id").applyInPandasWithState(step, schema, "status string, progress double, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def tumbling(events: DataFrame, width: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
