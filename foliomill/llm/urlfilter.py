@@ -150,8 +150,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Ratio:
         one = counts.filter(F.col("said") == said)
         top = one.groupBy("context").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), F.length("context"), "context").limit(CONTEXTS).select("context")
         held: dict[str, dict[str, int]] = {}
-        for r in one.join(top, "context").select("context", "char", "n").collect():  # bounded by CONTEXTS and the sample
-            held.setdefault(r.context, {})[r.char] = r.n
+        found = one.join(top, "context").select("context", "char", "n").toArrow()  # bounded by CONTEXTS and the sample
+        for context, char, n in zip(*(found.column(c).to_pylist() for c in ("context", "char", "n")), strict=True):
+            held.setdefault(context, {})[char] = n
         models[said] = Markov(held) if held else None
     ratio = Ratio(models["allow"], models["block"])
     held = chosen.filter("held").select("said", "url").collect()  # bounded by the sample
