@@ -105,11 +105,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
+    # plain keys that are never null: the join leaves the rows where dropDuplicates needs them, so texts move once
+    name = F.concat(F.when(F.col(id_col).isNull(), "n").otherwise("v"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_fm_name")
     groups = exact_groups(docs, id_col, text_col, keep).filter("kept")
-    stay = settle(groups.select(F.col(id_col).alias("_fm_id"), F.unhex("text_sha256").alias("_fm_sha")), "kept")
-    cond = F.col("_fm_did").eqNullSafe(F.col("_fm_id")) & (F.col("_fm_dsha") == F.col("_fm_sha"))
-    keyed = docs.select("*", F.col(id_col).alias("_fm_did"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("_fm_dsha"))
-    once = keyed.join(stay, cond, "left_semi").dropDuplicates(["_fm_did", "_fm_dsha"])
+    stay = settle(groups.select(name, F.unhex("text_sha256").alias("_fm_dsha")), "kept")
+    keyed = docs.select("*", name, F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("_fm_dsha"))
+    once = keyed.join(stay.hint("merge"), ["_fm_name", "_fm_dsha"], "left_semi").dropDuplicates(["_fm_name", "_fm_dsha"])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
