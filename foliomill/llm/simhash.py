@@ -234,4 +234,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     stay = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     stay = settle(stay.select(F.col(id_col).alias("_fm_stay")).distinct(), "stay")
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_fm_stay")), "left_semi")
+    return docs.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("_fm_stay")), "left_semi")
