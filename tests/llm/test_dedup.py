@@ -147,3 +147,13 @@ def test_components_of_long_paths(spark):
     want = {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1050)} | {2001: 2000}
     assert got == want
     assert cc.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_components_of_a_vertex_in_several_chunks(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        edges = [(100, v) for v in range(1, 12)] + [(200, v) for v in (50, 60, 70)] + [(201, 60), (201, 10)]
+        got = [(r.node, r.root) for r in cc.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", chunk=2).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [(v, 1) for v in [*range(2, 12), 50, 60, 70, 100, 200, 201]]
