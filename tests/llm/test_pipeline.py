@@ -1,10 +1,11 @@
 import random
 
 import corpus_pipeline
+import pytest
 from test_dedup import brute_fingerprint, clusters, lower
 from test_operators import toxic_corpus
 
-from foliomill.llm import toxicity
+from foliomill.llm import nearcopies, toxicity
 from foliomill.llm.common import table
 
 
@@ -64,3 +65,29 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [nearcopies.LIST_LIMIT, 3])
+def test_near_copies_against_all_pairs_of_five_word_shingles(spark, limit):
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice(["pa", "ke", "li"]) + str(rng.randrange(400)) for _ in range(rng.randrange(3, 500))) for _ in range(60)]
+    for base in texts[:40]:
+        for _ in range(4):
+            words = base.split()
+            for _ in range(rng.randrange(1, 3 + len(words) // 30)):
+                words[rng.randrange(len(words))] = "new" + str(rng.randrange(1000))
+            texts.append(" ".join(words))
+    texts += [None, "", "one two", "One  TWO", texts[3].upper()]
+    sets = []
+    for t in texts:
+        w = lower(t).split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = nearcopies.drop_near_copies(docs, limit=limit)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root)) and len(set(root)) < len(texts) - 40
