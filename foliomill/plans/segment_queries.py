@@ -450,7 +450,7 @@ def residual_classes(spark, sf):
 
 @query()
 def similarity(spark, sf):
-    return pairs(spark, sf).select("seg_id", golden.sequence_ratio(F.substring("source", 1, 500), F.substring("target", 1, 500)).alias("ratio"))
+    return pairs(spark, sf).select("seg_id", golden.sequence_ratio("source", "target").alias("ratio"))
 
 
 @query(_MEMORY + """, i AS (SELECT c.doc_id, count(*) AS hits FROM carried c GROUP BY c.doc_id), n AS (SELECT doc_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS chars FROM segment GROUP BY doc_id)

@@ -97,7 +97,7 @@ _ends = "'^[ .]+|[ .]+$', '', 'g'"
 
 @query(f"SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace({_stem}, {_ends}), 1, 80), {_ends}), ''), CAST(doc_id AS VARCHAR)) AS stem FROM documents")
 def output_stem(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.output_stem(F.substring("text", 1, 200), "doc_id").alias("stem"))
+    return table(spark, sf, "documents").select("doc_id", t.output_stem("text", "doc_id").alias("stem"))
 
 
 @query("SELECT page_id, CASE WHEN length(url) <= 10 THEN repeat('*', length(url)) ELSE substr(url, 1, 6) || '******' || right(url, 4) END AS masked FROM pages")

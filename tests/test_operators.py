@@ -199,3 +199,24 @@ def test_repair(spark):
 
     items = spark.createDataFrame([(0, "1", "x"), (0, "2", "y"), (0, "3", "z")], "batch int, seg_id string, text string")
     assert sorted(rows(provider.repair(items, engine)), key=str) == sorted([("1", "ok", None), ("2", "ok", None), ("3", None, "no usable answer")], key=str)
+
+
+def test_similarity_query_compares_whole_texts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from foliomill.plans.all import QUERIES
+    from foliomill.sources.tables import pairs
+
+    long = "abc def " * 80
+    rows = [(1, k, "user", text) for k, text in enumerate([long + "xyz" * 60, long, "short", long + "tail of another kind " * 9, long + "uvw " * 40, long + "q"], 3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.seg_id: r.ratio for r in QUERIES["similarity"](spark, str(tmp_path)).collect()}
+    want = {r.seg_id: SequenceMatcher(None, r.source, r.target, autojunk=False).ratio() for r in pairs(spark, str(tmp_path)).collect()}
+    assert got == want and any(0.5 < x < 1 for x in want.values())
+
+
+def test_output_stem_query_reads_past_what_is_dropped(spark, tmp_path):
+    from foliomill.plans.all import QUERIES
+
+    spark.createDataFrame([(1, "/" * 250 + "Title")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["output_stem"](spark, str(tmp_path)).first().stem == "Title"
