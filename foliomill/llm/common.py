@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster has none to fall back on.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return path or f"/tmp/checkpoints/{os.getuid()}/{spark.sparkContext.applicationId}"
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return path or f"{tempfile.gettempdir()}/checkpoints/{os.getuid()}/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:

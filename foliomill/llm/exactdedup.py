@@ -1,46 +1,50 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every document goes to a leaf by the hash of its id. A leaf's run holds one row per digest: the identifier retained
-so far and the number of rows. Leaves have an address of two digits in base k. Round r rewrites digit r of the
-address with digit r of the digest and sends the run there, so each node merges k sorted runs and retains one
-identifier per digest again. After the last digit a node holds one slice of the digest space from all leaves: no
-task ever sees more than its share, however large a group of copies is, since a leaf sends one row per digest.
+Every row is dealt to one of 2**R nodes (leaves), as many as the session has shuffle partitions, rounded up. A node's
+run holds one row per digest: the identifier retained so far and the number of rows. In round r a node exchanges
+with the one whose address differs in bit r: runs go where bit r of the address equals bit r of the digest, so what
+arrives at a node are the sorted runs of two partners, which it merges, retaining one identifier per digest again.
+For each slice of the digest space these rounds form a binomial tree over all nodes; after R rounds its root holds
+that slice from all leaves. No task ever sees more than its share, however large a group of copies is, since a node
+sends one row per digest. A larger fan_in lets that many partners meet in a round, in fewer rounds.
 
-The way down goes by the leaves as well: a digest's result is handed to the leaves that hold it, and documents are
-joined on (leaf, digest), so a group that holds a third of all rows is spread over all leaves.
+The way down goes by the leaves as well: a digest's result is handed to the leaves that hold it, and rows are joined
+on (leaf, digest), so a group that holds a third of all rows is spread over all leaves, null ids included.
 
 "Verified": the key is SHA-256 of the normalised text with its byte length, not a short hash.
 
 Defined results: null text counts as empty (all such rows are one group). Null ids lose against any id; a group with
-null ids only keeps one of its rows, with keep_id null. Of repeated rows with the same id and text, one stays. An
-empty table gives no rows. Extra columns are ignored by exact_groups and kept by drop_copies.
+null ids only keeps one of its rows, with keep_id null. Of repeated rows with the same id and text, one stays. A very
+long text is hashed whole and never moved. An empty table gives no rows. Extra columns, whatever their names (keep_id
+among them), are ignored by exact_groups and kept by drop_copies; only names that begin with _fm_ are reserved.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, settle, shuffle_partitions
 
 KEY = ["_fm_sha", "_fm_len"]
+WRITE_EVERY = 4  # rounds after which runs are written, which cuts the lineage
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, fan_in: int) -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text_col: str, nodes: int) -> DataFrame:
+    """A row per document, numbered (_fm_u), at its leaf. To be written once: the numbers are those of one run."""
     norm = ascii_lower(F.col(text_col))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).alias("_fm_id"),
         F.unhex(F.sha2(norm, 256)).alias("_fm_sha"),
         F.octet_length(norm).cast("long").alias("_fm_len"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(fan_in * fan_in)).cast("int").alias("_fm_leaf"),
+        F.monotonically_increasing_id().alias("_fm_u"),
     )
+    return rows.withColumn("_fm_leaf", F.pmod(F.xxhash64("_fm_u"), F.lit(nodes)).cast("int"))
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,32 +77,40 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge(runs: DataFrame, node: Column, nodes: int, keep: str) -> DataFrame:
     """Send runs to their nodes (a partition each) and merge what meets there: one row per digest."""
     best = F.col("_fm_id").asc_nulls_last() if keep == "min" else F.col("_fm_id").desc_nulls_last()
-    sent = runs.select(node.cast("int").alias("_fm_node"), "_fm_id", *KEY, "_fm_n").repartitionById(nodes, F.col("_fm_node"))
-    return sent.sortWithinPartitions(*KEY, best).mapInArrow(_merge_runs, sent.schema)
+    sent = runs.select(node.cast("int").alias("_fm_node"), "_fm_id", "_fm_u", *KEY, "_fm_n").repartitionById(nodes, F.col("_fm_node"))
+    return sent.sortWithinPartitions(*KEY, best, "_fm_u").mapInArrow(_merge_runs, sent.schema)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int | None = None) -> DataFrame:
+def rounds_of(nodes: int, fan_in: int = 2) -> list[int]:
+    """The weight of each round's digit of an address: 1, fan_in, fan_in**2 and so on below nodes."""
+    out = []
+    while (w := fan_in ** len(out)) < nodes:
+        out.append(w)
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 2, nodes: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256. keep: "min" or "max" identifier of a group stays."""
-    k = fan_in or max(2, min(16, math.isqrt(shuffle_partitions(docs.sparkSession) - 1) + 1))
-    rows = settle(_digests(docs, id_col, text_col, k), "digests")
-    merged = _merge(rows.withColumn("_fm_n", F.lit(1).cast("long")), F.col("_fm_leaf"), k * k, keep)
-    leaves = settle(merged.withColumnRenamed("_fm_node", "_fm_leaf"), "runs")
-    digit = [F.pmod(F.xxhash64(F.lit(r), *KEY), F.lit(k)).cast("int") for r in (0, 1)]
-    high = F.floor(F.col("_fm_leaf") / k).cast("int")
-    first = _merge(leaves, high * k + digit[0], k * k, keep)  # low digit from the digest; k leaves meet in a node
-    at = F.col("_fm_node")
-    second = _merge(first.select("_fm_id", "_fm_n", *KEY, (F.pmod(at, F.lit(k)) + digit[1] * k).alias("_fm_to")), F.col("_fm_to"), k * k, keep)
-    groups = settle(second.filter("_fm_n > 1").select(*KEY, F.col("_fm_id").alias("_fm_keep"), F.col("_fm_n").alias("_fm_size")), "groups")
-    down = leaves.select("_fm_leaf", *KEY).join(groups, KEY)
+    weights = rounds_of(nodes or shuffle_partitions(docs.sparkSession), fan_in)
+    nodes = fan_in ** len(weights)
+    rows = settle(_digests(docs, id_col, text_col, nodes), "digests")
+    merged = _merge(rows.withColumn("_fm_n", F.lit(1).cast("long")), F.col("_fm_leaf"), nodes, keep)
+    leaves = settle(merged, "runs")
+    now, at, home = leaves, F.col("_fm_node"), F.pmod(F.xxhash64(*KEY), F.lit(nodes)).cast("int")
+    for k, w in enumerate(weights):
+        digit = lambda x, w=w: F.floor(x / w).cast("int") % fan_in
+        now = _merge(now, at + (digit(home) - digit(at)) * w, nodes, keep)
+        if k % WRITE_EVERY == WRITE_EVERY - 1 and k < len(weights) - 1:
+            now = settle(now, "runs")
+    groups = settle(now.filter("_fm_n > 1").select(*KEY, F.col("_fm_id").alias("_fm_keep"), F.col("_fm_u").alias("_fm_best"), F.col("_fm_n").alias("_fm_size")), "groups")
+    down = leaves.select(F.col("_fm_node").alias("_fm_leaf"), *KEY).join(groups, KEY)
     found = rows.join(down, ["_fm_leaf", *KEY], "left")
-    w = W.partitionBy("_fm_leaf", *KEY, "_fm_id").orderBy("_fm_id")
-    keep_id = F.when(F.col("_fm_size").isNull(), F.col("_fm_id")).otherwise(F.col("_fm_keep"))
-    # rows with a null id all sit in one leaf, so a row number is global for any id
-    return found.withColumn("_fm_rn", F.row_number().over(w)).select(
+    alone = F.col("_fm_size").isNull()
+    return found.select(
         F.col("_fm_id").alias(id_col),
-        keep_id.alias("keep_id"),
+        F.when(alone, F.col("_fm_id")).otherwise(F.col("_fm_keep")).alias("keep_id"),
         F.coalesce("_fm_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("_fm_id").eqNullSafe(keep_id) & (F.col("_fm_rn") == 1)).alias("kept"),
+        (alone | (F.col("_fm_u") == F.col("_fm_best"))).alias("kept"),
         F.lower(F.hex("_fm_sha")).alias("text_sha256"),
     )
 

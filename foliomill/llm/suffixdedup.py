@@ -8,23 +8,24 @@ hash, leftmost on ties. Equal windows have equal anchors at equal offsets, so th
 anchor hash. The windows of an anchor form one stretch of the document, its context; a text has about one context per
 WINDOW / 2 bytes.
   1. Anchor hashes that occur once are dropped.
-  2. Contexts that are equal as a whole (64 bits of a strong digest within one anchor hash) are repeats: all their
-     bytes go, in every document that has them. From here on each distinct context counts once.
+  2. Contexts that are equal as a whole (128 bits of BLAKE2b, beside the anchor hash) are repeats: all their bytes go,
+     in every document that has them. From here on each distinct context counts once.
   3. Groups with several distinct contexts are judged by suffix order. Contexts are lined up at their anchor and cut at
      every column where two of them begin or cease to agree; equal blocks between cuts get equal symbols. The suffix
      array of these symbol strings, with common prefixes measured in bytes, gives the longest repeat from each cut.
   4. Groups with more than GROUP_LIMIT distinct contexts, which one task must not hold, are judged by ranges of window
-     offsets, coarse to fine, from digests that are counted with partial aggregation. This is exact as well.
+     offsets, coarse to fine, from 128-bit digests that are counted with partial aggregation. This is exact as well.
 
 The suffix array is made by linear grouping (suffix_array): suffixes are grouped by first symbol; groups are taken in
 descending order, every member finds its previous smaller suffix by pointer jumping, and the suffixes pointed at move
 to new groups behind their old ones, by how often they were pointed at. Then groups equal Lyndon prefixes, and one
 ascending pass emits each group's order along the same pointers, without recursion or renaming.
 
-Rows are identified by (id, hash of the text), so repeated rows count as copies of each other. Text moves twice: to cut
+Rows are identified by (id, hash of the text), so repeated rows count as copies of each other and share one set of spans. Text moves twice: to cut
 out contexts of groups with several, and to apply the spans at the end.
 
-Defined results: null counts as empty. Texts shorter than a window lose nothing. Null ids are judged like any other.
+Defined results: null counts as empty. Texts shorter than a window lose nothing. Very long texts are read in overlapping
+pieces of SEGMENT bytes, which changes no result. Columns other than id and text, whatever their names, are ignored. Null ids are judged like any other.
 Repeated rows of at least a window's length lose everything. An empty table gives no rows.
 """
 
@@ -47,6 +48,8 @@ GROUP_LIMIT = 256
 LEVELS = (32, 8, 1)  # window offsets in a range, where a group is too large for one task
 SYMBOLS = 100_000  # symbols that are sorted at a time
 NO_ID = -(2**63)
+CONTEXT = ["cx", "cy"]  # 128 bits of a context's digest
+FULL = ["full", "full2"]  # likewise of a range's bytes
 
 _BITS = 24
 _MASK = np.uint64((1 << _BITS) - 1)
@@ -229,17 +232,19 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, first, last = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True))
             owner, a, b, at, h = anchor_runs(buf, first - lo, last - lo)
             view = memoryview(buf)
-            cx = [hashlib.blake2b(view[x : y + WINDOW], digest_size=8).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            cx = [hashlib.blake2b(view[x : y + WINDOW], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            cx = np.frombuffer(b"".join(cx), dtype="<i8").reshape(-1, 2)
             row = k[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h.view(np.int64)),
-                    pa.array(np.frombuffer(b"".join(cx), dtype="<i8")),
+                    pa.array(cx[:, 0].copy()),
+                    pa.array(cx[:, 1].copy()),
                     pa.array(did[row]),
                     pa.array(tx[row]),
                     pa.array(_pack(a + lo - offsets[row], at - a, b - a)),
                 ],
-                ["h", "cx", "did", "tx", "pos"],
+                ["h", *CONTEXT, "did", "tx", "pos"],
             )
 
 
@@ -330,7 +335,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranges(size: int):
-    """A row for each range of window offsets that a context owns part of: (h, u, core, full, did, tx, pos, once).
+    """A row for each range of window offsets that a context owns part of: (h, u, core, full, full2, did, tx, pos, once).
 
     Offsets u to u + size - 1 (bytes before the anchor). core digests the bytes that all windows of the range share,
     full those that any of them covers; a context that does not own the whole range gets a full of its own.
@@ -350,11 +355,12 @@ def _ranges(size: int):
                         continue
                     core = hashlib.blake2b(body[at - u : at + WINDOW - v], digest_size=8).digest()
                     whole = body[at - v : at + WINDOW - u] if u >= low and v <= at else b"%d %d %d" % (did, tx, pos)
-                    full = hashlib.blake2b(whole, digest_size=8).digest()
-                    out.append((h, u, int.from_bytes(core, "little", signed=True), int.from_bytes(full, "little", signed=True), did, tx, pos, once))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "u", "core", "full", "did", "tx", "pos", "once"])
+                    full = hashlib.blake2b(whole, digest_size=16).digest()
+                    halves = (int.from_bytes(x, "little", signed=True) for x in (core, full[:8], full[8:]))
+                    out.append((h, u, *halves, did, tx, pos, once))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            kinds = [pa.int64()] * 8 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "u", "core", *FULL, "did", "tx", "pos", "once"])
 
     return run
 
@@ -370,9 +376,9 @@ def _split_groups(contexts: DataFrame) -> DataFrame:
     base = settle(contexts.select("h", "did", "tx", "pos", (F.col("n") == 1).alias("once"), F.lit(0).cast("long").alias("u"), F.lit(WINDOW).cast("long").alias("span"), "body"), "large")
     now, found = base, None
     for size in LEVELS:
-        rows = settle(now.mapInArrow(_ranges(size), "h long, u long, core long, full long, did long, tx long, pos long, once boolean"), "ranges")
-        classes = settle(rows.groupBy("h", "u", "core", "full").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("did", "tx", "pos", "once")).alias("one")), "classes")
-        whole = rows.filter("once").join(classes.filter("k > 1").select("h", "u", "full"), ["h", "u", "full"], "left_semi")
+        rows = settle(now.mapInArrow(_ranges(size), "h long, u long, core long, full long, full2 long, did long, tx long, pos long, once boolean"), "ranges")
+        classes = settle(rows.groupBy("h", "u", "core", *FULL).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("did", "tx", "pos", "once")).alias("one")), "classes")
+        whole = rows.filter("once").join(classes.filter("k > 1").select("h", "u", *FULL), ["h", "u", *FULL], "left_semi")
         anchor = F.shiftright("pos", 20) + F.shiftright("pos", 10).bitwiseAND(F.lit(1023))
         spans = settle(whole.select("did", "tx", (anchor - F.col("u") - (size - 1)).alias("a"), (anchor - F.col("u") + WINDOW).alias("b")), "spans")
         found = spans if found is None else found.unionByName(spans)
@@ -396,14 +402,14 @@ def _split_groups(contexts: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """rows: (did, tx, body). Spans (did, tx, a, b) whose union is what goes; b is exclusive."""
     spark = rows.sparkSession
-    anchors = settle(rows.filter(F.octet_length("body") >= WINDOW).mapInArrow(_anchors, "h long, cx long, did long, tx long, pos long"), "anchors")
+    anchors = settle(rows.filter(F.octet_length("body") >= WINDOW).mapInArrow(_anchors, "h long, cx long, cy long, did long, tx long, pos long"), "anchors")
     often = settle(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "hashes")
     shared = settle(anchors.join(often, "h", "left_semi"), "shared")
     discard(anchors)
     discard(often)
     release(spark)
-    classes = settle(shared.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "tx", "pos")).alias("one")).select("h", "cx", "n", "one.*"), "classes")
-    whole = shared.join(classes.filter("n > 1").select("h", "cx"), ["h", "cx"], "left_semi")
+    classes = settle(shared.groupBy("h", *CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "tx", "pos")).alias("one")).select("h", *CONTEXT, "n", "one.*"), "classes")
+    whole = shared.join(classes.filter("n > 1").select("h", *CONTEXT), ["h", *CONTEXT], "left_semi")
     first, last = F.shiftright("pos", 20), F.col("pos").bitwiseAND(F.lit(1023))
     whole = settle(whole.select("did", "tx", first.alias("a"), (first + last + WINDOW).alias("b")), "whole")
     discard(shared)
@@ -464,7 +470,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans_by_row(rows: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(did, tx, spans): the spans of each row that has any."""
     spans = repeated_spans(rows.select("did", "tx", "body"), group_limit)
-    return settle(spans.groupBy("did", "tx").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    return settle(spans.groupBy("did", "tx").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:

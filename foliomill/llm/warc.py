@@ -3,28 +3,33 @@
 Payload bytes are stored once, under their verified SHA-256 digest; the exact header block of every record is stored
 separately. Two Parquet tables make an archive:
 
-  payloads  (sha256, payload)                            one row per distinct payload
-  headers   (page_id, sha256, record_type, refers_to, header)   one row per record
+  payloads  (sha256, payload)   one row per distinct payload, in buckets by digest
+  headers   (sha256, header)    one row per record: the address of its payload and its exact header block
 
 Records are reconstructed by a join on the digest: header block, blank line, payload (responses) or nothing
-(revisits, which carry the digest and the id of the response they refer to). read_payloads checks each stored payload
-against its address before anything is derived from it.
+(revisits, which carry the digest and the id of the response they refer to). What a reader reports comes from the
+rebuilt bytes: the type, the id, the target and the length are parsed from the record's own header. A stored payload
+that does not match its address, a length that is not the body's and a digest line that is not the payload's each stop
+the read.
 
-Skew: the response of a digest is chosen by a partially aggregated max, and joins with a hot digest are plain joins
-on both sides, which adaptive execution splits. Payload bytes move once when written (by a unique key) and do not
-move when digests are read back.
+Skew: one payload per digest is chosen by a partially aggregated max, so a hot digest sends one payload a task.
+Payload bytes move once, when they are written; the buckets spare the read a second move. Revisits of a hot digest
+never meet payload bytes, only its length and digest, in a plain join that adaptive execution splits.
 
 Defined results: a null html is an empty payload; a null url leaves out the target line; payloads shorter than
 min_bytes are all responses. Null page ids come after every other id; repeated rows with the same id and payload are
-all responses where that id is the one chosen. Reading ignores repeated payload rows. An empty table gives no rows.
+all responses where that id is the one chosen, and share one stored payload. A very long payload is one value. Other
+columns of pages, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, settle, shuffle_partitions
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -44,7 +49,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def _header(record_type: Column, page: Column, url: Column, date: str, n: Column, sha1: Column, refers: Column) -> Column:
     """The exact header block of a WARC/1.1 record."""
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page>"))
     revisit = record_type == "revisit"
     line = lambda name, value, when=F.lit(True): F.when(when, F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise(F.lit(""))
     clean = F.regexp_replace(url, r"[\r\n]", "")
@@ -64,44 +69,93 @@ def _header(record_type: Column, page: Column, url: Column, date: str, n: Column
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record per row of pages under path."""
+    spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.unhex(F.sha2(payload, 256)).alias("sha256"), payload.alias("payload"))
+    buckets, name = shuffle_partitions(spark), f"foliomill_{uuid.uuid4().hex}"
+    stored = rows.groupBy("sha256").agg(F.max(F.struct("page_id", "payload")).alias("one")).select("sha256", F.col("one.payload").alias("payload"))
+    stored.write.bucketBy(buckets, "sha256").option("path", f"{path}/payloads").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; readers name them again
+    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
     small = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
-    best = rows.groupBy(F.col("sha256").alias("best_sha")).agg(F.max("page_id").alias("best_id"))
-    # the chosen row of each digest, by a key that is unique but for repeated rows
-    chosen = rows.join(best, F.col("page_id").eqNullSafe(F.col("best_id")) & (F.col("sha256") == F.col("best_sha")), "left_semi")
-    chosen.select("sha256", "payload").write.parquet(f"{path}/payloads")
-    kind = F.when((F.col("n") < min_bytes) | F.col("page_id").eqNullSafe(F.col("best_id")), "response").otherwise("revisit")
-    refers = F.when(F.col("record_type") == "revisit", F.col("best_id"))
     # the smaller side is written first, so that both sides of the join are dealt out afresh and a hot digest can be split
+    best = rows.groupBy(F.col("sha256").alias("best_sha")).agg(F.max("page_id").alias("best_id"))
     best.write.parquet(f"{path}/chosen")
-    spark = pages.sparkSession
-    joined = small.join(spark.read.schema(best.schema).parquet(f"{path}/chosen"), F.col("sha256") == F.col("best_sha")).withColumn("record_type", kind).withColumn("refers_to", refers)
-    header = _header(F.col("record_type"), F.col("page_id"), F.col("url"), date, F.col("n"), F.col("sha1"), F.col("refers_to"))
-    joined.select("page_id", "sha256", "record_type", "refers_to", header.alias("header")).write.parquet(f"{path}/headers")
+    joined = small.join(spark.read.schema(best.schema).parquet(f"{path}/chosen"), F.col("sha256") == F.col("best_sha"))
+    kind = F.when((F.col("n") < min_bytes) | F.col("page_id").eqNullSafe(F.col("best_id")), "response").otherwise("revisit")
+    header = _header(kind, F.col("page_id"), F.col("url"), date, F.col("n"), F.col("sha1"), F.col("best_id"))
+    joined.select("sha256", header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, payload), each checked against its address: a payload with another digest stops the read."""
-    rows = spark.read.parquet(f"{path}/payloads")
+    """(sha256, payload) in their buckets, each checked against its address: a payload with another digest stops the read."""
+    name = f"foliomill_{uuid.uuid4().hex}"
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    spark.sql(f"CREATE TABLE {name} (sha256 BINARY, payload BINARY) USING parquet CLUSTERED BY (sha256) INTO {buckets} BUCKETS LOCATION '{path}/payloads'")
+    rows = spark.table(name)
     ok = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
-    return rows.select("sha256", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.lit("stored payload does not match its digest")).cast("binary")).alias("payload"))
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its exact bytes: page_id, record_type, refers_to, payload (in full), record."""
-    payloads = read_payloads(spark, path).dropDuplicates(["sha256"])
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.encode("header", "UTF-8"), F.lit(CRLF.encode()), body, F.lit((CRLF * 2).encode()))
-    return spark.read.parquet(f"{path}/headers").join(payloads, "sha256").select("page_id", "record_type", "refers_to", "payload", record.alias("record"))
-
-
-def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with length and digest of its full payload, both taken from the stored bytes."""
-    stored = read_payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    stored.dropDuplicates(["sha256"]).write.parquet(f"{path}/digests")
-    stored = spark.read.parquet(f"{path}/digests")
-    return spark.read.parquet(f"{path}/headers").join(stored, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = rows.select("sha256", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.lit("stored payload does not match its digest")).cast("binary")).alias("payload"))
+    out.schema  # noqa: B018 - resolved now, so that the name is not needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _line(header: Column, name: str) -> Column:
+    """The value of a header line, null where there is none."""
+    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+
+
+def _page(header: Column, name: str, kind: str) -> Column:
+    return F.url_decode(F.nullif(F.regexp_extract(header, rf"(?m)^{name}: <urn:page:([^>\r\n]*)>", 1), F.lit(""))).cast(kind)
+
+
+def _parsed(records: DataFrame, kind: str) -> DataFrame:
+    """records: (sha256, record). What the records' own bytes say, checked: type, id, target, digest, length and body."""
+    text = F.col("record").cast("string")  # the same bytes
+    cut = records.withColumn("header", F.substring_index(text, CRLF * 2, 1))
+    at = F.octet_length("header") + 4
+    cut = cut.withColumn("body", F.substring("record", at + 1, F.octet_length("record") - at - 4))
+    rows = cut.select(
+        "sha256",
+        "record",
+        "body",
+        _page(F.col("header"), "WARC-Record-ID", kind).alias("page_id"),
+        _line(F.col("header"), "WARC-Type").alias("record_type"),
+        _page(F.col("header"), "WARC-Refers-To", kind).alias("refers_to"),
+        F.replace(_line(F.col("header"), "WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("said"),
+        _line(F.col("header"), "Content-Length").cast("long").alias("length"),
+    )
+    known = F.col("record_type").isin("response", "revisit")
+    whole = known & F.col("said").isNotNull() & F.col("length").eqNullSafe(F.octet_length("body").cast("long"))
+    # in a column that every reader takes, or it would be pruned away
+    return rows.withColumn("record_type", F.when(whole, F.col("record_type")).otherwise(F.raise_error(F.lit("a record's header does not fit its bytes"))))
+
+
+def read_records(spark: SparkSession, path: str, kind: str = "bigint", record_type: str | None = None) -> DataFrame:
+    """Every record with its exact bytes, rebuilt by joins: sha256, page_id, record_type, refers_to, said (digest line), length, body, record.
+
+    kind: the SQL type of page ids. record_type: only records of that type, by their headers.
+    """
+    end = F.lit(CRLF.encode())
+    headers = spark.read.schema("sha256 binary, header binary").parquet(f"{path}/headers")
+    own = _line(F.col("header").cast("string"), "WARC-Type")
+    responses = headers.filter(own == "response").join(read_payloads(spark, path), "sha256")
+    responses = responses.select("sha256", F.concat("header", end, "payload", end, end).alias("record"))
+    others = headers.filter(~own.eqNullSafe("response")).select("sha256", F.concat("header", end, end, end).alias("record"))
+    asked = {"response": responses, "revisit": others}.get(record_type) if record_type else responses.unionByName(others)
+    return _parsed(asked, kind)
+
+
+def read_digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """Every record with length and digest of its full payload, from rebuilt records: a revisit's from the response it refers to."""
+    agrees = lambda said, found: F.when(said == found, said).otherwise(F.raise_error(F.lit("a record's digest line is not its payload's")))
+    responses = read_records(spark, path, kind, "response")
+    responses = settle(responses.select("sha256", "page_id", "record_type", "refers_to", F.col("length").alias("payload_bytes"), agrees(F.col("said"), base32_sha1(F.col("body"))).alias("payload_digest")), "responses")
+    stored = settle(responses.select("sha256", F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("sha1")).dropDuplicates(["sha256"]), "digests")
+    revisits = read_records(spark, path, kind, "revisit").select("sha256", "page_id", "record_type", "refers_to", "said").join(stored, "sha256", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = revisits.withColumn("payload_bytes", F.col("n")).withColumn("payload_digest", agrees(F.col("said"), F.col("sha1")))
+    return responses.select(*columns).unionByName(revisits.select(*columns))
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -109,7 +163,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int
     spark = pages.sparkSession
     path = path or fresh_path(spark, "archive")
     write_archive(pages, path, min_bytes=min_bytes)
-    return read_digests(spark, path)
+    return read_digests(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 
 def _oracle() -> str:

@@ -205,12 +205,34 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     records = warc.read_records(spark, path).collect()
     assert len(records) == len(PAGES)
-    assert sorted(bytes(r.payload) for r in records) == sorted(body(h) for _, _, h in PAGES)
+    assert sorted(bytes(r.body) for r in records if r.record_type == "response") == sorted(body(h) for (_, _, h), w in zip(PAGES, want, strict=True) if w[3] == "response")
     for r in records:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-        assert rest == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and length == len(rest) - 4
-    assert spark.read.parquet(f"{path}/payloads").select("sha256").distinct().count() == len(best)
+        lines = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert rest == bytes(r.body) + b"\r\n\r\n" and int(lines[b"Content-Length"]) == len(rest) - 4
+        assert lines[b"WARC-Record-ID"] == (b"<urn:page>" if r.page_id is None else b"<urn:page:%d>" % r.page_id)
+    stored = spark.read.parquet(f"{path}/payloads")
+    assert stored.count() == len(best)  # bytes once, repeated rows included
+
+
+@pytest.mark.parametrize(("old", "new"), [("WARC-Type: revisit", "WARC-Type: nothing"), ("Content-Length: 8", "Content-Length: 9"), ("sha1:", "sha1:A")])
+def test_warc_reads_its_headers(spark, tmp_path, old, new):
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
+    headers = [(bytes(r.sha256), bytes(r.header).decode().replace(old, new).encode()) for r in spark.read.parquet(f"{path}/headers").collect()]
+    spark.createDataFrame(headers, "sha256 binary, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+    with pytest.raises(Exception, match="header does not fit|digest line"):
+        warc.read_digests(spark, path).collect()
+
+
+def test_warc_checks_payloads(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
+    bad = spark.createDataFrame([(bytes(r.sha256), bytes(r.payload) + b"!") for r in spark.read.parquet(f"{path}/payloads").collect()], "sha256 binary, payload binary")
+    bad.write.mode("overwrite").parquet(f"{path}/payloads")
+    spark.createDataFrame([(1,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
+    with pytest.raises(Exception, match="does not match its digest|bucket"):
+        warc.read_digests(spark, path).collect()
 
 
 def test_warc_empty(spark, tmp_path):

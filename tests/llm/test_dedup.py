@@ -42,18 +42,34 @@ def test_drop_copies_keeps_columns_and_one_of_each(spark):
     assert sorted(lower(r.text) for r in got.collect()) == sorted({lower(t) for _, t, _ in ROWS})
 
 
+def test_exact_with_clashing_names_and_a_long_text(spark):
+    long = "Long " * 400_000
+    df = spark.createDataFrame([(1, long, 5, "a"), (2, long.lower(), 6, "b"), (3, None, 7, "c")], "doc_id long, text string, group_size long, kept string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.exact_groups(df, keep="max").collect()) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    kept = exactdedup.drop_copies(df, keep="max")
+    assert kept.columns == df.columns and sorted((r.doc_id, r.group_size, r.kept) for r in kept.collect()) == [(2, 6, "b"), (3, 7, "c")]
+
+
 def test_exact_empty(spark):
     assert exactdedup.exact_groups(spark.createDataFrame([], DDL)).count() == 0
     assert exactdedup.drop_copies(spark.createDataFrame([], DDL)).count() == 0
 
 
-def test_hot_group_is_spread(spark):
-    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', concat('t', id)) as text")
-    got = exactdedup.exact_groups(df, keep="max", fan_in=3)
+@pytest.mark.parametrize(("nodes", "fan_in"), [(1, 2), (8, 2), (27, 3), (5, 2)])
+def test_hot_group_is_spread(spark, nodes, fan_in):
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, null, id) as doc_id", "if(id % 3 = 0, 'same', concat('t', id)) as text")
+    got = exactdedup.exact_groups(df, keep="max", fan_in=fan_in, nodes=nodes)
     assert got.filter("kept").count() == 2001
     assert got.filter("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
+def test_rounds_are_binomial(spark):
+    assert exactdedup.rounds_of(211) == [1, 2, 4, 8, 16, 32, 64, 128] and exactdedup.rounds_of(1) == []
+    df = spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text")
+    plan = exactdedup._digests(df, "doc_id", "text", 8)
+    assert plan.select("_fm_leaf").distinct().count() == 8
+
+
 # --- SimHash ---------------------------------------------------------------------------------------------------------
 
 

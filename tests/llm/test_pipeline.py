@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 from test_dedup import brute_fingerprint, clusters, lower
-from test_operators import toxic_corpus
+from test_corpus_operators import toxic_corpus
 
 from foliomill.llm import nearcopies, toxicity
 from foliomill.llm.common import table

@@ -89,3 +89,15 @@ def test_repeated_and_null_ids(spark):
     assert got == [(0, 421, 420), (1, 500, 500), (1, 500, 500), (2, 0, 0)]
     assert m.remove_repeats(df.limit(0)).count() == 0
     assert {r.doc_id: len(r.kept) for r in m.kept_bytes(df).collect()}[None] == 1
+
+
+def test_large_group_and_many_identical_rows(spark):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, same = noise(450), noise(600)
+    texts = [noise(rng.randrange(80)) + passage[: rng.choice([450, 450, 430, 405])] + noise(rng.randrange(80)) for _ in range(m.GROUP_LIMIT + 60)]
+    assert rows_of(spark, texts) == brute(texts)
+    df = spark.createDataFrame([(7, same)] * 100 + [(8, noise(500))], "doc_id long, text string")
+    spans = m.spans_by_row(m._identified(df, "doc_id", "text")).collect()
+    assert len(spans) == 1 and len(spans[0].spans) <= 5
+    assert sorted({(r.doc_id, r.n_removed, r.n_spans) for r in m.remove_repeats(df).collect()}) == [(7, 600, 1), (8, 0, 0)]
