@@ -138,11 +138,41 @@ def test_near_duplicates_end_to_end(spark):
     for r in got:
         members = [i for (i, _, _), f in zip(rows, fp, strict=True) if group[f] == group[int(r.fingerprint, 16)] and i is not None]
         assert r.component_id == (min(members) if members else None)
-    stay = simhash.drop_near_copies(df.dropDuplicates(["doc_id"]))
-    assert stay.columns == df.columns
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_come_from_the_distance_table(spark, monkeypatch):
+    """Without the table's coordinates no pair is found: the keys, the windows and the discards all read it."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(60)]
+    fps += [f ^ (1 << rng.randrange(63)) for f in fps]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert simhash.links(df).count() >= 60
+    own = simhash.distance_table
+
+    def scrambled(x):
+        return np.random.default_rng(abs(int(x.sum())) % 1000).permuted(own(x), axis=1)
+
+    seen = []
+    monkeypatch.setattr(simhash, "distance_table", lambda x: (seen.append(len(x)), scrambled(x))[1])
+    listed = [b for c in simhash.CUTS[:1] for b in simhash._listed(c)(iter([simhash.pa.RecordBatch.from_arrays([simhash.pa.array(fps)], ["fp"])]))]
+    assert seen and len(listed) == 15
+    keys = [dict(zip(b.column("fp").to_pylist(), b.column("key").to_pylist(), strict=True)) for b in listed]
+    meet = sum(any(k[f] == k[g] for k in keys) for f, g in zip(fps[:60], fps[60:], strict=True))
+    assert meet < 30
+
+
+def test_keys_meet_for_every_link():
+    rng = np.random.default_rng(2)
+    a = rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.int64(1) << rng.integers(0, 63, 300)
+    for cut in simhash.CUTS:
+        x, y = ([r.column("key").to_numpy() for r in simhash._listed(cut)(iter([simhash.pa.RecordBatch.from_arrays([simhash.pa.array(v)], ["fp"])]))] for v in (a, b))
+        assert np.any([p == q for p, q in zip(x, y, strict=True)], axis=0).all()
+
+
 def test_distance_table_never_discards_a_link():
     rng = np.random.default_rng(0)
     fps = rng.integers(-(2**63), 2**63 - 1, 500, dtype=np.int64)
