@@ -2,22 +2,32 @@
 
 Inner products become distances: with M the largest norm, a vector x gets one more coordinate sqrt(M^2 - |x|^2) and a
 query a zero, so |q' - x'|^2 = |q|^2 + M^2 - 2 q.x and the largest product is the smallest distance. Every vector is
-keyed by its nearest pivot and its distance to it, and the keys are cut into segments (annuli) of about SEGMENT rows,
-sorted by (pivot, distance, id). A query first meets the annulus it would lie in; its k-th score there bounds
-the search, and only annuli that the triangle inequality cannot exclude follow. Bounds are widened by a relative 1e-9;
-scores are integer sums, so the result is exact.
+keyed by its nearest pivot and its distance to it; sorted by (pivot, distance, id), the keys of each pivot are cut into
+annuli of at most about SEGMENT rows. The number of pivots grows with the square root of the table's.
 
-Scale: pivots are fitted on a bounded sample (SAMPLE rows, the smallest hashes of ids); every row is indexed. Queries
-meet annuli in blocks of about QUERY_BLOCK, so a task holds one annulus and one block. Segments are cut by
-row count with the id as tie-break, so a vector that a third of all rows share fills many segments, not one.
+Queries with a common nearest pivot form blocks. A block takes the annuli in the order of the best bound that the
+triangle inequality leaves any of its queries, a growing number a round; after each round every query's k-th score is
+raised, and an annulus that no query of the block can still gain from is skipped for good. The search of a block ends
+when all that is left is excluded. Bounds are widened by a relative 1e-9; scores are integer sums, so the result is exact.
+
+Scale: pivots are fitted on a bounded sample (SAMPLE rows, the smallest hashes of ids); every row is indexed. What is
+planned and written is (block, annulus), never (query, annulus); a task holds one annulus and one block, and returns
+only rows that beat a query's k-th score so far. The directory of annuli is sent with the tasks and has at most
+DIRECTORY + PIVOTS rows: on larger tables annuli grow instead. Annuli are cut by row count with the id as tie-break, so
+a vector that a third of all rows share fills many of them, not one.
+
+Where all distances are alike (random vectors of many dimensions) the bounds exclude next to nothing and the search
+becomes a block-wise scan; the README has the shares.
 
 Defined results: null vectors, null ids and vectors with null or non-finite components take no part, neither as query
 nor as candidate. Shorter vectors count as padded with zeros. Rows that repeat an id are candidates each; as a query
-the id counts once, by its smallest vector. An empty table gives no rows.
+the id counts once, by its smallest vector. An empty table gives no rows. Other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -29,10 +39,12 @@ from pyspark.sql.window import Window
 
 from .common import discard, settle
 
-PIVOTS = 64
+PIVOTS = (16, 1024)  # least and most
 SAMPLE = 4096
 SEGMENT = 4096
+DIRECTORY = 1 << 20
 QUERY_BLOCK = 2048
+FIRST_STEP, GROWTH = 1, 4  # annuli a block takes in the first round, and the factor by which that grows
 SLACK = 1e-9
 
 
@@ -65,7 +77,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def fit_pivots(sample: np.ndarray, n: int = PIVOTS, rounds: int = 5) -> np.ndarray:
+def fit_pivots(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
     """A few rounds of k-means from evenly spaced sample rows."""
     centres = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(int)].copy()
     for _ in range(rounds):
@@ -109,97 +121,152 @@ def _facts(rows: DataFrame) -> tuple[int, int, float]:
     return r[0] or 0, r[1] or 0, r[2] or 0.0
 
 
-def _segment_search(width: int, k: int) -> Callable:
-    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x = x.sort_values("id", kind="stable")
-        ids, qids = x["id"].to_numpy(), q["query_id"].to_numpy()
-        items, out = _matrix(x["v"].tolist(), width), []
-        asked = _matrix(q["qv"].tolist(), width)
-        for at in range(0, len(qids), 256):
-            score = _products(asked[at : at + 256], items)
-            for row, qid in zip(score, qids[at : at + 256], strict=True):
-                other = np.flatnonzero(ids != qid)
-                s = row[other]
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = np.flatnonzero(s >= least)
-                    s, other = s[keep], other[keep]
-                best = np.lexsort((ids[other], -s.astype(object) if s.min(initial=0) == -(2**63) else -s))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other[best]], "score": s[best]}))
+class _Directory:
+    """The annuli: pivot, least and largest distance, rows; and the pivots. Bounded, and sent with the tasks."""
+
+    def __init__(self, rings: pa.Table, centres: np.ndarray, width: int, m2: float):
+        self.ring, self.pivot, self.rows = (rings.column(c).to_numpy() for c in ("ring", "pivot", "rows"))
+        self.near, self.far = rings.column("near").to_numpy(), rings.column("far").to_numpy()
+        self.at = {r: k for k, r in enumerate(self.ring.tolist())}
+        self.centres, self.width, self.m2 = centres, width, m2
+
+    def queries(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Query vectors, and their distances to all pivots."""
+        q = _matrix(blobs, self.width)
+        return q, _distances(np.hstack([q.astype(np.float64), np.zeros((len(q), 1))]), self.centres)
+
+    def bounds(self, q2: np.ndarray, dq: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The largest product that each query may find in each of the annuli."""
+        d = dq[:, self.pivot[which]]
+        low = np.maximum(0.0, np.maximum(d - self.far[which], self.near[which] - d))
+        whole = (q2 + self.m2)[:, None]
+        return (whole - low * low) / 2 + whole * SLACK
+
+
+def _squares(q: np.ndarray) -> np.ndarray:
+    v = q.astype(np.float64)
+    return (v * v).sum(axis=1)
+
+
+def _plan(held: _Directory, step: int) -> Callable:
+    """For one block: its next annuli. (block, ring, place in the block's order, live: queries that may gain)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        q, dq = held.queries(p["qv"].tolist())
+        q2, least = _squares(q), p["least"].to_numpy(dtype=np.float64, na_value=-np.inf)
+        n = len(held.ring)
+        best, live = np.empty(n), np.empty(n, dtype=np.int64)
+        for at in range(0, n, 4096):
+            which = np.arange(at, min(at + 4096, n))
+            b = held.bounds(q2, dq, which)
+            best[which], live[which] = b.max(axis=0), (b >= least[:, None]).sum(axis=0)
+        order = np.lexsort((held.ring, -best))
+        place = np.arange(n)
+        keep = (place >= p["turn"].iloc[0]) & (live[order] > 0)
+        order, place = order[keep][:step], place[keep][:step]
+        return pd.DataFrame({"block": np.full(len(order), p["block"].iloc[0]), "ring": held.ring[order], "place": place, "live": live[order]}).astype("int64")
+
+    return run
+
+
+def _meet(held: _Directory, k: int) -> Callable:
+    """One annulus and one block: the rows that may be among a query's k best."""
+
+    def run(key: tuple, x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if not x.empty and not p.empty:
+            x = x.sort_values("id", kind="stable")
+            ids, items = x["id"].to_numpy(), _matrix(x["v"].tolist(), held.width)
+            q, dq = held.queries(p["qv"].tolist())
+            least = p["least"].to_numpy(dtype=np.float64, na_value=-np.inf)
+            reach = np.flatnonzero(held.bounds(_squares(q), dq, np.array([held.at[int(key[0])]]))[:, 0] >= least)
+            q, qids, least = q[reach], p["query_id"].to_numpy()[reach], least[reach]
+            for at in range(0, len(qids), 256):
+                for row, qid, floor in zip(_products(q[at : at + 256], items), qids[at : at + 256], least[at : at + 256], strict=True):
+                    other = np.flatnonzero((ids != qid) & (row >= floor))
+                    s = row[other]
+                    if len(s) > k:
+                        keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        s, other = s[keep], other[keep]
+                    best = np.lexsort((ids[other], -s.astype(object) if s.min(initial=0) == -(2**63) else -s))[:k]
+                    if len(best):
+                        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other[best]], "score": s[best]}))
         return pd.concat(out, ignore_index=True).astype("int64")
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k largest integer inner products with any other row.
+def index_of(rows: DataFrame, n: int, width: int, m2: float, segment: int = SEGMENT) -> tuple[DataFrame, _Directory]:
+    """rows (id, v) keyed by annulus: (ring, id, v), and the directory."""
+    sample = _matrix([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], width)
+    centres = fit_pivots(_lifted(sample, m2), min(PIVOTS[1], max(PIVOTS[0], math.isqrt(n) // 4)))
 
-    queries: rows of the same form; left out, the rows of vectors whose id is divisible by 50.
-    """
+    def keyed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(_lifted(_matrix(batch.column("v").to_pylist(), width), m2), centres)
+                near = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(d)), near])], ["id", "v", "pivot", "dist"])
+
+    size = max(segment, n // DIRECTORY)
+    found = rows.mapInArrow(keyed, "id long, v binary, pivot long, dist double").repartitionByRange(max(1, -(-n // size)), "pivot", "dist", "id")
+    found = settle(found.withColumn("ring", F.spark_partition_id().cast("long") * len(centres) + F.col("pivot")), "index")
+    rings = found.groupBy("ring", "pivot").agg(F.min("dist").alias("near"), F.max("dist").alias("far"), F.count(F.lit(1)).alias("rows")).orderBy("ring").toArrow()
+    return found.select("ring", "id", "v"), _Directory(rings, centres, width, m2)
+
+
+def search(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, segment: int = SEGMENT) -> tuple[DataFrame, float]:
+    """The result of top_k, and the share of all (query, row) pairs that the bounds did not exclude."""
     spark = vectors.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if queries is None:
         queries = vectors.filter(F.col(id_col) % 50 == 0)
     rows = settle(quantised(vectors, id_col, vec_col, scale), "vectors")
     asked = settle(quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n, width, m2 = _facts(rows)
     nq, q_width, _ = _facts(asked)
-    width = max(width, q_width)
     if not n or not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = _matrix([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], width)
-    centres = fit_pivots(_lifted(sample, m2))
-
-    def keyed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                d = _distances(_lifted(_matrix(batch.column("v").to_pylist(), width), m2), centres)
-                near = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["id", "v", "pivot", "dist"])
-
-    index = rows.mapInArrow(keyed, "id long, v binary, pivot int, dist double")
-    index = index.repartitionByRange(max(1, -(-n // SEGMENT)), "pivot", "dist", "id").withColumn("part", F.spark_partition_id())
-    index = settle(index, "index")
+        return empty, 0.0
+    index, held = index_of(rows, n, max(width, q_width), m2, segment)
     discard(rows)
-    annuli = settle(index.groupBy("part", "pivot").agg(F.min("dist").alias("near"), F.max("dist").alias("far")), "annuli")
 
-    def pivoted(batches):
-        """A query's distance to every pivot; |q|^2 gives the bound of any product from a bound of the distance."""
+    def nearest(batches):
         for batch in batches:
             if batch.num_rows:
-                q = _matrix(batch.column("id_v").to_pylist(), width).astype(np.float64)
-                d = _distances(np.hstack([q, np.zeros((len(q), 1))]), centres)
-                ids = np.repeat(batch.column("query_id").to_numpy(), len(centres))
-                which = np.tile(np.arange(len(centres), dtype=np.int32), len(q))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(which), pa.array(d.ravel()), pa.array(np.repeat((q * q).sum(axis=1), len(centres)))], ["query_id", "pivot", "dq", "q2"])
-
-    probes = asked.select(F.col("id").alias("query_id"), F.col("v").alias("id_v")).mapInArrow(pivoted, "query_id long, pivot int, dq double, q2 double")
-    low = F.greatest(F.lit(0.0), F.col("dq") - F.col("far"), F.col("near") - F.col("dq"))
-    bound = (F.col("q2") + F.lit(m2) - low * low) / 2 + (F.col("q2") + F.lit(m2)) * F.lit(SLACK)
-    reach = probes.join(annuli, "pivot").groupBy("query_id", "part").agg(F.max(bound).alias("bound"))
-    reach = settle(reach, "reach")
-    blocks = max(1, -(-nq // QUERY_BLOCK))
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        """Each annulus with each block of the queries that reach it."""
-        pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-        pairs = pairs.select(F.col("part").alias("at"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("asking"), "query_id", "qv")
-        pairs = settle(pairs, "pairs")
-        live = pairs.select(F.col("at").alias("part"), F.col("asking").alias("block")).distinct()
-        held = index.select("part", "id", "v").join(live, "part").select("part", "block", "id", "v")
-        found = held.groupBy("part", "block").cogroup(pairs.groupBy("at", "asking")).applyInPandas(_segment_search(width, k), "query_id long, vec_id long, score long")
-        return settle(found, "found")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "part")
-    first = settle(reach.withColumn("turn", F.row_number().over(best)).filter("turn = 1").select("query_id", F.col("part").alias("seen")), "first")
-    seeds = meet(first.select("query_id", F.col("seen").alias("part")))
+                near = held.queries(batch.column("v").to_pylist())[1].argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(near.astype(np.int64))], ["query_id", "qv", "near"])
+
+    blocks = asked.mapInArrow(nearest, "query_id long, qv binary, near long").repartitionByRange(max(1, -(-nq // QUERY_BLOCK)), "near", "query_id")
+    blocks = settle(blocks.select("query_id", "qv", F.spark_partition_id().cast("long").alias("block")), "blocks")
+    discard(asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    enough = seeds.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    rest = reach.join(first, "query_id").filter("part <> seen").join(enough, "query_id", "left").filter("least is null or bound >= least")
-    more = meet(rest.select("query_id", "part"))
-    ranked = seeds.unionByName(more).withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    state, top, step, scored = blocks.withColumn("least", F.lit(None).cast("long")).withColumn("turn", F.lit(0).cast("long")), None, FIRST_STEP, 0
+    while True:
+        plan = settle(state.groupBy("block").applyInPandas(_plan(held, step), "block long, ring long, place long, live long"), "plan")
+        taken = plan.groupBy("ring").agg(F.sum("live").alias("live")).toArrow()  # a row for each annulus: bounded like the directory
+        if not taken.num_rows:
+            return (empty if top is None else top.withColumn("rank", F.row_number().over(order).cast("int")).select("query_id", "rank", "vec_id", "score")), scored / (n * nq)
+        scored += int(sum(held.rows[held.at[r]] * int(m) for r, m in zip(taken.column("ring").to_pylist(), taken.column("live").to_pylist(), strict=True)))
+        pairs = plan.select("ring", "block")
+        mine = index.join(pairs, "ring").groupBy("ring", "block")
+        theirs = state.select("block", "query_id", "qv", "least").join(pairs, "block").groupBy("ring", "block")
+        found = mine.cogroup(theirs).applyInPandas(_meet(held, k), "query_id long, vec_id long, score long")
+        both = found if top is None else top.unionByName(found)
+        last, top = top, settle(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), "top")
+        discard(last)
+        least = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("least")).filter(F.col("m") >= k).drop("m")
+        turns = plan.groupBy("block").agg((F.max("place") + 1).alias("turn"))
+        state = settle(blocks.join(least, "query_id", "left").join(turns, "block"), "state")
+        discard(plan)
+        step *= GROWTH
+
+
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k largest integer inner products with any other row.
+
+    queries: rows of the same form; left out, the rows of vectors whose id is divisible by 50.
+    """
+    return search(vectors, queries, id_col, vec_col, k, scale, SEGMENT)[0]
 
 
 ORACLE = """

@@ -267,6 +267,27 @@ def test_top_k_is_exact(spark, monkeypatch, segment):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_prunes_where_vectors_cluster(spark):
+    """20,000 vectors around 40 centres: the triangle inequality excludes most of the pairs, and the result stays exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = centres[rng.integers(0, 40, 20_000)] + rng.normal(scale=0.02, size=(20_000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found, share = topk.search(df, segment=256)
+    assert share < 0.3
+    ints = np.floor(256 * x).astype(np.int64)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    assert len(got) == 400
+    for q in range(0, 20_000, 50):
+        s = ints @ ints[q]
+        s[q] = -(2**60)
+        want = np.lexsort((np.arange(len(s)), -s))[:5]
+        assert sorted(got[q]) == [(n, -int(s[i]), int(i)) for n, i in enumerate(want, 1)]
+
+
 def test_top_k_fewer_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
