@@ -199,7 +199,7 @@ def _meet(held: _Directory, k: int) -> Callable:
 def index_of(rows: DataFrame, n: int, width: int, m2: float, segment: int = SEGMENT) -> tuple[DataFrame, _Directory]:
     """rows (id, v) keyed by annulus: (ring, id, v), and the directory."""
     sample = _matrix([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], width)
-    centres = fit_pivots(_lifted(sample, m2), min(PIVOTS[1], max(PIVOTS[0], math.isqrt(n) // 4)))
+    centres = fit_pivots(_lifted(sample, m2), min(PIVOTS[1], max(PIVOTS[0], math.isqrt(n) // 2)))
 
     def keyed(batches):
         for batch in batches:

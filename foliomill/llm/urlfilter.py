@@ -1,38 +1,44 @@
 """URL filters: rules first, then a character language-model ratio.
 
-Two variable-order Markov models are trained on URLs that rules accept and reject. A model predicts each character
-from its longest known context of up to ORDER characters and blends the orders below it (Witten-Bell). A URL that no
-rule fits is judged by the difference of its two log-likelihoods per character, minus a threshold calibrated on rule
-URLs that the models have not seen.
-
-The models are fitted on a bounded sample: at most SAMPLE URLs a class (the smallest hash in each hash bucket), the
-first URL_CHARS characters of each, and at most CONTEXTS contexts a class, the most frequent first. What is sent with
-the tasks is bounded by that. Rules and verdicts cover every row and the whole URL.
+Two variable-order Markov models are trained on the distinct URLs that rules accept and reject, all of them, whole. A
+model predicts each character from its longest known context of up to ORDER characters and blends the orders below it
+(Witten-Bell):  P_n(c | s) = (N(s, c) + K(s) P_n-1(c | s')) / (N(s) + K(s)),  K the number of characters seen after s,
+s' without its first character, P_-1 = 1 / ALPHABET, and P_n = P_n-1 where s was never seen. A URL that no rule fits is
+judged by the difference of its two log-likelihoods per character, minus a threshold calibrated on one rule URL in
+five, which the models have not seen.
+
+Everything is DataFrame functions. A URL is a sequence of grams (ORDER characters and the one they predict); counts of
+grams and of their shorter suffixes are partially aggregated sums that grow with the rule URLs. The log ratio is worked
+out once for each distinct gram that is asked for, by joins order by order, and a URL's score is the sum over its grams.
+No model is sent to tasks as such; Spark broadcasts a table only where its size allows. The threshold comes from a
+histogram of all held-out scores in steps of STEP, which has a bounded number of cells.
+
+Skew: hot hosts and hot grams are pre-aggregated before they move; the one join of all positions with the ratios is
+split by adaptive execution where a gram is hot, since each gram stands once on the other side.
 
 Defined results: null urls and urls without "://" have an empty host and path; no rule fits them. A null or empty url
 has difference 0 and is judged against the threshold like any other. Where one class has no URL to learn from, the
 model's verdict is the other class's; with neither it is allow. Of rules of equal length the first by text wins.
-Repeated rows are judged each. An empty table gives no rows.
+Repeated rows are judged each, but a repeated URL is learned from once. Very long URLs are read whole. An empty table
+gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, settle
+from .common import LOWER, UPPER, discard, settle
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 5
-SAMPLE = 20_000
-URL_CHARS = 512
-CONTEXTS = 200_000
 ALPHABET = 256
+HELD_OUT = 5  # one rule URL in so many calibrates the threshold
+STEP = 1e-3
+BEGIN, END = "\x02", "\x03"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,127 +64,88 @@ def with_rules(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[tupl
     return rows.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-class Markov:
-    """Variable-order character model with Witten-Bell blending, from context counts."""
-
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.counts = counts
-        self.total = {c: sum(n.values()) for c, n in counts.items()}
-        self._cache: dict[str, float] = {}
-
-    def probability(self, context: str, char: str) -> float:
-        """P(char | context): every order backs off to the one below, the lowest to a uniform alphabet."""
-        key = context + "\0" + char
-        p = self._cache.get(key)
-        if p is None:
-            if not context and "" not in self.counts:
-                return 1.0 / ALPHABET
-            below = self.probability(context[1:], char) if context else 1.0 / ALPHABET
-            seen = self.counts.get(context)
-            if seen is None:
-                return below
-            n, kinds = self.total[context], len(seen)
-            p = (seen.get(char, 0) + kinds * below) / (n + kinds)
-            if len(self._cache) < 500_000:
-                self._cache[key] = p
-        return p
-
-    def log_likelihood(self, text: str) -> float:
-        line = "\x02" * ORDER + text + "\x03"
-        return sum(math.log(self.probability(line[i - ORDER : i], line[i])) for i in range(ORDER, len(line)))
-
-
-class Ratio:
-    """The two models and the threshold on their length-normalised difference."""
-
-    def __init__(self, accepted: Markov | None, rejected: Markov | None, threshold: float = 0.0):
-        self.accepted, self.rejected, self.threshold = accepted, rejected, threshold
-
-    def difference(self, url: str | None) -> float:
-        if not url or not self.accepted or not self.rejected:
-            return 0.0
-        return (self.accepted.log_likelihood(url) - self.rejected.log_likelihood(url)) / (len(url) + 1)
-
-    def verdict(self, difference: float) -> str:
-        if not self.accepted or not self.rejected:
-            return "allow" if self.accepted or not self.rejected else "block"
-        return "allow" if difference >= self.threshold else "block"
-
-
-def context_counts(urls: DataFrame) -> DataFrame:
-    """(verdict, context, char, n) over the training URLs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[tuple[str, str, str], int] = {}
-            for said, url in zip(batch.column("said").to_pylist(), batch.column("url").to_pylist(), strict=True):
-                line = "\x02" * ORDER + url + "\x03"
-                for i in range(ORDER, len(line)):
-                    for n in range(ORDER + 1):
-                        k = (said, line[i - n : i], line[i])
-                        counts[k] = counts.get(k, 0) + 1
-            said, context, char = zip(*counts, strict=True) if counts else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"said": said, "context": context, "char": char, "n": list(counts.values())}, schema=pa.schema([("said", pa.string()), ("context", pa.string()), ("char", pa.string()), ("n", pa.int64())]))
-
-    return urls.mapInArrow(run, "said string, context string, char string, n long").groupBy("said", "context", "char").agg(F.sum("n").alias("n"))
-
-
-def _threshold(accepted: np.ndarray, rejected: np.ndarray) -> float:
-    """The cut with the best balanced accuracy on URLs the models have not seen; 0 where a class is missing."""
-    if not len(accepted) or not len(rejected):
+def grams(url: Column) -> Column:
+    """array<string>: each character of the url and an end mark, behind the ORDER characters before it."""
+    line = F.concat(F.lit(BEGIN * ORDER), url, F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.char_length(url) + 1), lambda i: F.substring(line, i, F.lit(ORDER + 1)))
+
+
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """(gram, na, nb) over urls (said, url): how often accepted and rejected URLs have it."""
+    each = urls.select("said", F.explode(grams(F.col("url"))).alias("gram"))
+    times = lambda x: F.sum(F.when(F.col("said") == x, 1).otherwise(0)).cast("double")
+    return each.groupBy("gram").agg(times("allow").alias("na"), times("block").alias("nb"))
+
+
+def log_ratios(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, ratio): log P(accepted) - log P(rejected) of the last character, for each gram of asked."""
+    last = lambda n: F.expr(f"right(gram, {n + 1})")  # noqa: E731 - a context of n characters and the one after it
+    now = asked.select("gram").distinct()
+    levels = [now.select(last(n).alias("x")).distinct() for n in range(ORDER)] + [now.select(F.col("gram").alias("x"))]
+    below = None
+    for n in range(ORDER + 1):
+        seen = counts.groupBy(last(n).alias("x")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+        seen = settle(seen.withColumn("s", F.expr(f"left(x, {n})")), "counts")
+        kinds = lambda c: F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0))
+        context = seen.groupBy("s").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), kinds("na").alias("ka"), kinds("nb").alias("kb"))
+        rows = levels[n].withColumn("s", F.expr(f"left(x, {n})")).join(seen.drop("s"), "x", "left").join(context, "s", "left")
+        if below is None:
+            rows = rows.withColumn("pa", F.lit(1.0 / ALPHABET)).withColumn("pb", F.lit(1.0 / ALPHABET))
+        else:
+            rows = rows.withColumn("y", F.expr(f"right(x, {n})")).join(below.withColumnRenamed("x", "y"), "y")
+
+        def blended(c: str) -> Column:
+            total, k, p = F.coalesce(f"t{c}", F.lit(0.0)), F.coalesce(f"k{c}", F.lit(0.0)), F.col(f"p{c}")
+            return F.when(total > 0, (F.coalesce(f"n{c}", F.lit(0.0)) + k * p) / (total + k)).otherwise(p).alias(f"p{c}")
+
+        below = settle(rows.select("x", blended("a"), blended("b")), "order")
+    return below.select(F.col("x").alias("gram"), (F.ln("pa") - F.ln("pb")).alias("ratio"))
+
+
+def differences(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(u, difference) over rows (u, url): the mean log ratio of a url's grams. Urls are not empty."""
+    each = rows.select("u", F.explode(grams(F.col("url"))).alias("gram")).join(ratios, "gram")
+    return each.groupBy("u").agg((F.sum("ratio") / F.count(F.lit(1))).alias("difference"))
+
+
+def threshold(scores: DataFrame) -> float:
+    """scores: (said, difference) of held-out URLs. The cut with the best balanced accuracy, nearest to 0 of several."""
+    cell = F.floor(F.col("difference") / STEP).cast("long").alias("cell")
+    one = lambda x: F.sum(F.when(F.col("said") == x, 1).otherwise(0)).alias(x)
+    # a mean log ratio lies within plus or minus log(ALPHABET * counts), so cells are some ten thousands at most
+    cells = scores.groupBy(cell).agg(one("allow"), one("block")).orderBy("cell").collect()
+    good, bad = sum(r["allow"] for r in cells), sum(r["block"] for r in cells)
+    if not good or not bad:
         return 0.0
-    cuts = np.unique(np.concatenate([accepted, rejected]))
-    cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [0.0]])
-    keep = (accepted[None, :] >= cuts[:, None]).mean(axis=1) + (rejected[None, :] < cuts[:, None]).mean(axis=1) if len(cuts) <= 4000 else None
-    if keep is None:
-        a, r = np.sort(accepted), np.sort(rejected)
-        keep = 1 - np.searchsorted(a, cuts) / len(a) + np.searchsorted(r, cuts) / len(r)
-    best = np.flatnonzero(keep >= keep.max() - 1e-12)
-    return float(cuts[best[np.abs(cuts[best]).argmin()]])
-
-
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Ratio:
-    """rows: the result of with_rules. One URL in five of the sample is kept for the threshold."""
-    own = rows.filter("rule_verdict is not null and _fm_url is not null").select(F.col("rule_verdict").alias("said"), F.substring("_fm_url", 1, URL_CHARS).alias("url"))
-    own = own.withColumn("h", F.xxhash64("url"))
-    chosen = own.groupBy("said", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "url")).alias("best"))
-    chosen = settle(chosen.select("said", F.col("best.url").alias("url"), (F.pmod(F.shiftright("best.h", 24), F.lit(5)) == 0).alias("held")), "urls")
-    train = chosen.filter("not held").select("said", "url").repartition(max(1, min(16, sample // 2000)), "url")
-    counts = settle(context_counts(train), "contexts")
-    models: dict[str, Markov | None] = {}
-    for said in ("allow", "block"):
-        one = counts.filter(F.col("said") == said)
-        top = one.groupBy("context").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), F.length("context"), "context").limit(CONTEXTS).select("context")
-        held: dict[str, dict[str, int]] = {}
-        found = one.join(top, "context").select("context", "char", "n").toArrow()  # bounded by CONTEXTS and the sample
-        for context, char, n in zip(*(found.column(c).to_pylist() for c in ("context", "char", "n")), strict=True):
-            held.setdefault(context, {})[char] = n
-        models[said] = Markov(held) if held else None
-    ratio = Ratio(models["allow"], models["block"])
-    held = chosen.filter("held").select("said", "url").collect()  # bounded by the sample
-    d = {s: np.array([ratio.difference(r.url) for r in held if r.said == s]) for s in ("allow", "block")}
-    ratio.threshold = _threshold(d["allow"], d["block"])
-    for m in models.values():
-        if m:
-            m._cache = {}
-    return ratio
+    best, passed, stopped, before = (1.0, 0.0), 0, 0, None
+    for r in cells:
+        cut = r["cell"] * STEP if before is None else (before + 1 + r["cell"]) / 2 * STEP
+        right = (good - passed) / good + stopped / bad
+        best = max(best, (round(right, 12), -abs(cut), cut)) if len(best) == 3 else (round(right, 12), -abs(cut), cut)
+        passed, stopped, before = passed + r["allow"], stopped + r["block"], r["cell"]
+    return best[-1]
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """id, host, path, rule, verdict, difference for every row; difference is the model's, rules or not."""
-    rows = with_rules(pages, id_col, url_col, rules)
-    ratio = fit(rows)
-    kind = rows.schema["_fm_id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(ratio)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            d = [model.difference(u) for u in batch.column("_fm_url").to_pylist()]
-            verdict = [r or model.verdict(x) for r, x in zip(batch.column("rule_verdict").to_pylist(), d, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_fm_id"), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(verdict, pa.string()), pa.array(d, pa.float64())],
-                [id_col, "host", "path", "rule", "verdict", "difference"],
-            )
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, difference double")
+    """id, host, path, rule, verdict, difference for every row; difference is the model's, null where a rule decides."""
+    ruled = settle(with_rules(pages, id_col, url_col, rules).withColumn("u", F.monotonically_increasing_id()), "urls")
+    known = ruled.filter("rule_verdict is not null and _fm_url <> ''").select(F.col("rule_verdict").alias("said"), F.col("_fm_url").alias("url")).distinct()
+    known = settle(known.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0), "known")
+    learned = {r["said"] for r in known.filter("not held").select("said").distinct().collect()}
+    columns = [F.col("_fm_id").alias(id_col), "host", "path", "rule"]
+    if len(learned) < 2:
+        said = learned.pop() if learned else "allow"
+        return ruled.select(*columns, F.coalesce("rule_verdict", F.lit(said)).alias("verdict"), F.lit(0.0).alias("difference"))
+    counts = settle(gram_counts(known.filter("not held").select("said", "url")), "grams")
+    open_rows = ruled.filter("rule_verdict is null and _fm_url <> ''").select("u", F.col("_fm_url").alias("url"))
+    held = settle(known.filter("held").withColumn("u", F.monotonically_increasing_id()).select("u", "said", "url"), "held")
+    asked = reduce(DataFrame.unionByName, [x.select(F.explode(grams(F.col("url"))).alias("gram")).distinct() for x in (open_rows, held)])
+    ratios = log_ratios(counts, asked)
+    cut = threshold(held.join(differences(held, ratios), "u"))
+    scores = settle(differences(open_rows, ratios), "differences")
+    discard(held)
+    discard(known)
+    found = ruled.join(scores, "u", "left")
+    own = F.coalesce("difference", F.lit(0.0))
+    verdict = F.coalesce("rule_verdict", F.when(own >= cut, "allow").otherwise("block"))
+    return found.select(*columns, verdict.alias("verdict"), F.when(F.col("rule_verdict").isNull(), own).alias("difference"))

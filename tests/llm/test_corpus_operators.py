@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import itertools
 import random
 import zlib
@@ -175,11 +176,57 @@ def test_url_model_separates(spark):
     assert np.mean([got[400 + i] == ("allow" if i < 20 else "block") for i in range(40)]) > 0.9
 
 
-def test_markov_probabilities_sum_to_one():
-    m = urlfilter.Markov({"": {"a": 3, "b": 1}, "a": {"a": 1, "b": 2}})
-    for context in ("", "a", "xa", "b"):
-        seen = m.probability(context, "a") + m.probability(context, "b")
-        assert seen + (urlfilter.ALPHABET - 2) * m.probability(context, "z") == pytest.approx(1.0)
+def brute_ratio(good, bad):
+    """Plain Witten-Bell models of both classes: a function from a url to its mean log ratio."""
+    n, order = urlfilter.ALPHABET, urlfilter.ORDER
+
+    def model(urls):
+        seen = {}
+        for u in urls:
+            line = "\x02" * order + u + "\x03"
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    c = seen.setdefault(line[i - k : i], {})
+                    c[line[i]] = c.get(line[i], 0) + 1
+
+        def p(context, char):
+            below = p(context[1:], char) if context else 1 / n
+            c = seen.get(context)
+            return (c.get(char, 0) + len(c) * below) / (sum(c.values()) + len(c)) if c else below
+
+        return p
+
+    a, b = model(good), model(bad)
+
+    def mean(u):
+        line = "\x02" * order + u + "\x03"
+        return sum(math.log(a(line[i - order : i], line[i])) - math.log(b(line[i - order : i], line[i])) for i in range(order, len(line))) / (len(u) + 1)
+
+    return mean
+
+
+def test_url_differences_and_threshold_against_plain_python(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["news", "win", "cash", "é-x", "blog", "p" * 700])
+    known = [(s, f"https://{word()}{rng.randrange(50)}.{d}{word()}") for s, d in [("allow", "example.net/en/"), ("block", "shop.net/")] for _ in range(80)]
+    asked = ["https://news.com/win", "x", "日本://", "https://cash.com/" + "q" * 3000, "https://blog.example.net/en/"]
+    counts = urlfilter.gram_counts(spark.createDataFrame(known, "said string, url string"))
+    rows = spark.createDataFrame(list(enumerate(asked)), "u long, url string")
+    ratios = urlfilter.log_ratios(counts, rows.select(F.explode(urlfilter.grams(F.col("url"))).alias("gram")))
+    got = {r.u: r.difference for r in urlfilter.differences(rows, ratios).collect()}
+    mean = brute_ratio([u for s, u in known if s == "allow"], [u for s, u in known if s == "block"])
+    assert got == {i: pytest.approx(mean(u), abs=1e-9) for i, u in enumerate(asked)}
+    scores = [("allow", 0.5), ("allow", 0.2), ("allow", -0.4), ("block", 0.1), ("block", -0.5), ("block", -0.6)]
+    cut = urlfilter.threshold(spark.createDataFrame(scores, "said string, difference double"))
+    assert 0.1 < cut < 0.2 or -0.5 < cut <= -0.4
+    assert urlfilter.threshold(spark.createDataFrame(scores[:3], "said string, difference double")) == 0.0
+
+
+def test_url_filter_with_one_class_or_none(spark):
+    only = lambda urls: {r.verdict for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect() if r.rule is None}
+    assert only(["https://a.com/", None, ""]) == {"allow"}
+    assert only([f"https://{k}.net/" for k in range(30)] + ["https://a.com/"]) == {"block"}
+    assert only([f"https://{k}.org/fr/" for k in range(30)] + ["https://a.com/", None]) == {"allow"}
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------------
