@@ -399,21 +399,67 @@ def test_pack_covers_everything(spark):
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
-def test_rates_meet_targets(spark):
-    words = {"en": "the thing with the other thing", "de": "schein auf die einung ich", "fr": "que eau leurs eaux que ouest", "es": "ción los ados ción niño"}
+def brute_mix(docs, sample, names, targets, evidence):
+    """Plain naive Bayes over words and plain projected gradient: (posteriors, rates). sample: (domain, text) to learn from."""
+    words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+    counts = {d: {} for d in names}
+    for d, t in sample:
+        for w in words(t):
+            counts[d][w] = counts[d].get(w, 0) + 1
+    total = {d: sum(c.values()) + 0.5 * mixing.BUCKETS for d, c in counts.items()}
+    prior = {d: math.log(sum(x == d for x, _ in evidence[1]) / len(evidence[1])) for d in names}
+    p, n = [], []
+    for t in docs:
+        w = words(t)
+        mean = [sum(math.log((counts[d].get(x, 0) + 0.5) / total[d]) for x in w) / max(1, len(w)) for d in names]
+        logs = np.array([prior[d] + m * min(len(w), evidence[0]) for d, m in zip(names, mean, strict=True)])
+        e = np.exp(logs - logs.max())
+        p.append(e / e.sum())
+        n.append(len(w))
+    p, w = np.array(p), np.array(n) / sum(n)
+    target = np.array([targets.get(d, 0.0) for d in names])
+    target, share, r = target / target.sum(), w @ p, np.ones(len(docs))
+    for _ in range(400):
+        r = np.maximum(0.0, r - p @ (((w * r) @ p - target) / share))
+    return p, r
+
+
+def mixing_rows():
+    words = {"en": "the thing with the other thing", "de": "schein auf die einung ich", "fr": "que eau leurs eaux que ouest", "es": "los ados con tanto sol"}
     rows = [(i, (words[lang] + " ") * (1 + i % 5), lang) for i, lang in zip(range(200), itertools.cycle(["en", "en", "en", "de", "fr", "es"]), strict=False)]
-    rows += [(900, None, "en"), (901, "", None), (902, "zzz", None), (3, rows[3][1], "de")]
+    rows += [(900, None, "en"), (901, "", None), (902, "zzz", None), (903, "the que auf los", "en"), (904, "The\tthing " * 60_000, "en"), (None, "ich auf", None), (3, rows[3][1], "de")]
+    return rows
+
+
+def test_mixing_against_plain_python(spark):
+    rows, targets = mixing_rows(), {"en": 1, "de": 1, "fr": 1, "es": 1}
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rate", F.lit("clash"))
+    labelled = df.filter("doc_id % 7 < 4 and doc_id < 900 and lang is not null").select("doc_id", "lang")
+    sample = mixing.sampled(df, labelled, "doc_id", "text", "lang")
+    model = mixing.fit_classifier(sample)
+    assert model.names == ["de", "en", "es", "fr"] and model.evidence in mixing.EVIDENCE
+    features = {t: tuple(x) for t, x in df.select("text", mixing.features(F.col("text")).alias("x")).collect()}
+    learned = [(r.domain, t) for r in sample.filter("not held").collect() for t in [next(t for t, x in features.items() if x == tuple(r.x))]]
+    every = [(r.domain, 0) for r in sample.select("domain").collect()]
+    p, rate = brute_mix([t for _, t, _ in rows], learned, model.names, targets, (model.evidence, every))
+    got = mixing.mix(df, labelled, targets).collect()
+    want = sorted((str(i), len((t or "").split()), np.round(x, 4).tolist(), round(r, 2)) for (i, t, _), x, r in zip(rows, p, rate, strict=True))
+    assert sorted((str(r.doc_id), r.n_tokens, np.round([r.posterior[d] for d in model.names], 4).tolist(), round(r.rate, 2)) for r in got) == want
+
+
+def test_rates_meet_targets(spark):
+    rows, targets = mixing_rows(), {"en": 1, "de": 1, "fr": 1, "es": 1}
+    df = spark.createDataFrame([r for r in rows if r[0] != 904], "doc_id long, text string, lang string").withColumn("rate", F.lit("clash"))
     labelled = df.filter("doc_id % 7 < 4 and lang is not null").select("doc_id", "lang")
-    got = mixing.mix(df, labelled, {"en": 1, "de": 1, "fr": 1, "es": 1}).collect()
-    assert len(got) == len(rows) and all(r.rate >= 0 for r in got)
+    got = mixing.mix(df, labelled, targets).collect()
+    assert len(got) == len(rows) - 1 and all(r.rate >= 0 for r in got) and min(r.rate for r in got) < 0.9
     total = sum(r.n_tokens for r in got)
-    for d in ("en", "de", "fr", "es"):
+    for d in targets:
         assert sum(r.rate * r.n_tokens * r.posterior[d] for r in got) == pytest.approx(total / 4, rel=1e-3)
-    up = mixing.mixed(df, labelled, {"en": 1, "de": 1, "fr": 1, "es": 1})
+    up = mixing.mixed(df, labelled, targets)
     assert up.columns == df.columns
     counts = {r.doc_id: r["n"] for r in up.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    assert set(counts) == {i for i, _, _ in rows}
+    assert all(math.floor(r.rate) <= counts.get(r.doc_id, 0) / (2 if r.doc_id == 3 else 1) <= math.ceil(r.rate) for r in got)
 
 
 def test_mixing_without_labels(spark):
@@ -427,5 +473,6 @@ def test_mixing_without_labels(spark):
 def test_projection_to_the_least_rate(spark):
     rows = [(1, "the thing the thing", "en"), (2, "que eau que eau", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r.rate for r in mixing.mix(df, df.select("doc_id", "lang"), {"fr": 1.0}).collect()}
-    assert got[1] == pytest.approx(0.0, abs=1e-2) and got[2] == pytest.approx(2.0, rel=1e-2)
+    got = {r.doc_id: r for r in mixing.mix(df, df.select("doc_id", "lang"), {"fr": 1.0}).collect()}
+    # all is asked of one domain, and of the two documents the other is given up first
+    assert got[1].rate == pytest.approx(0.0, abs=1e-2) and got[2].rate * got[2].posterior["fr"] * 4 == pytest.approx(8.0, rel=1e-2)

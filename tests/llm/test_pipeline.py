@@ -1,12 +1,14 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 from test_dedup import lower
 from test_corpus_operators import toxic_corpus
 
-from foliomill.llm import nearcopies, toxicity
+from foliomill.llm import mixing, nearcopies, toxicity
 from foliomill.llm.common import table
+from foliomill.llm.queries import labelled_domains
 
 
 def fixture(tmp_path, spark):
@@ -62,7 +64,9 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert apart.columns == columns and sorted(r.doc_id for r in apart.collect()) == sorted(set(least.values())) and len(set(least.values())) < once.count()
 
     mixed = stages["mixing to target weights"](spark, apart, path).cache()
-    assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} == set(least.values())
+    rates = {r.doc_id: r.rate for r in mixing.mix(apart, labelled_domains(apart, table(spark, path, "labels"))).collect()}
+    uses = Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == columns and set(uses) <= set(least.values()) and all(int(r) <= uses[i] <= int(r) + 1 for i, r in rates.items())
 
     packed = stages["best-fit packing"](spark, mixed, path).collect()
     tokens = {r.doc_id: len((r.text or "").split()) for r in apart.collect()}
