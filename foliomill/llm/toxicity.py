@@ -4,14 +4,16 @@ Features of a whole text: densities of learned lexicons (whole words and word st
 small built-in one, how close they stand to second-person words, capitals, punctuation and obfuscation rates.
 
 Learning uses only labelled rows outside fold 0 and a bounded sample of them: at most SAMPLE rows a class, the
-smallest hash in each hash bucket. It is split in three by another hash: lexicons are learned on the first part,
+smallest hash in each hash bucket; the lexicons are all terms of that sample that pass two thresholds. It is split in three by another hash: lexicons are learned on the first part,
 trees are grown on the second, the calibration is fitted on the third, so that no part judges words or margins it
-has seen. Sampled rows carry the weight of their class, so scores stay probabilities of the whole table. Labels,
+has seen. A score is the calibrated value itself, beyond the outermost knots with a tail that keeps the order of margins.
+Sampled rows carry the weight of their class, so scores stay probabilities of the whole table. Labels,
 lang, source and ids are never inputs of a score. Scoring is one map over the documents, without a shuffle.
 
 Defined results: null and empty texts are scored like any other (all densities zero). Labels that are null are not
 learned from; of several labels for an id the largest counts. With no label, or one class only, every score is the
-smoothed share of toxic labels. A null id is held out. Repeated rows are scored each. An empty table gives no rows.
+smoothed share of toxic labels. Very long texts count whole: each distinct word is judged once. Columns other than id
+and text, whatever their names, are ignored by score and kept by reject. A null id is held out. Repeated rows are scored each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fold, settle
 
 SAMPLE = 6000
-LEXICON = 4000
+CACHED = 500_000  # distinct words whose judgement a worker keeps
 STEMS = (4, 5, 6)
 REACH = 5
 
@@ -66,46 +68,76 @@ def terms(text: str) -> set[str]:
     return words | {w[:n] + "~" for w in words for n in STEMS if len(w) > n}
 
 
-def features(text: str, words_odds: dict[str, float], stems_odds: dict[str, float]) -> list[float]:
-    raw = text.split()
-    words = tokens(text)
-    n = max(1, len(words))
-    hits, stem_hits, builtin, hidden, odds, best = [], 0, 0, 0, 0.0, 0.0
-    second = [i for i, w in enumerate(words) if w in SECOND]
-    cache: dict[str, tuple[float, bool, bool, bool]] = {}
-    for i, w in enumerate(words):
-        got = cache.get(w)
+class Lexicon:
+    """Words and stems with their log-odds, and what they say of a word; judged words are kept, up to a bound."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.words, self.stems, self._judged = words, stems, {}
+
+    def judge(self, raw: str) -> tuple[str, float, bool, bool, bool, bool, bool]:
+        """word, log-odds (0: no hit), by a stem, in disguise, built-in insult, second person, letters and other signs mixed."""
+        got = self._judged.get(raw)
         if got is None:
-            o, stem, veiled = words_odds.get(w, 0.0), False, False
-            if not o:
-                for k in STEMS:
-                    if len(w) > k and (s := stems_odds.get(w[:k], 0.0)):
-                        o, stem = max(o, s), True
-            if not o and not w.isalpha():
-                p = _plain(w)
-                if p != w and (p in words_odds or p in INSULTS):
-                    o, veiled = words_odds.get(p, 2.0), True
-            got = cache[w] = (o, stem, veiled, w in INSULTS)
-        o, stem, veiled, known = got
+            w, odds, stem, veiled = raw.strip(_EDGE), 0.0, False, False
+            if w:
+                odds = self.words.get(w, 0.0)
+                if not odds:
+                    odds = max([self.stems.get(w[:k], 0.0) for k in STEMS if len(w) > k], default=0.0)
+                    stem = odds > 0
+                if not odds and not w.isalpha():
+                    p = _plain(w)
+                    if p != w and (p in self.words or p in INSULTS):
+                        odds, veiled = self.words.get(p, 2.0), True
+            got = w, odds, stem, veiled, w in INSULTS, w in SECOND, bool(w) and not w.isalpha() and any(c.isalpha() for c in w)
+            if len(self._judged) < CACHED:
+                self._judged[raw] = got
+        return got
+
+    def __getstate__(self):
+        return self.words, self.stems
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """FEATURES of a whole text: each distinct word is judged once, and counts do the rest."""
+    raw, low = Counter(text.split()), text.lower().split()
+    words = hits = stem_hits = builtin = hidden = seconds = letters = 0
+    odds = best = 0.0
+    mixed, seen, flags = set(), set(), {}
+    for x, k in Counter(low).items():
+        w, o, stem, veiled, known, second, mix = lexicon.judge(x)
+        flags[x] = (4 if w else 0) | (2 if second else 0) | (1 if o else 0)
+        if not w:
+            continue
+        words += k
+        letters += k * len(w)
+        builtin += k * known
+        seconds += k * second
+        if mix:
+            mixed.add(w)
         if o:
-            odds += o
+            hits += k
+            odds += k * o
             best = max(best, o)
-            hits.append(i)
-            stem_hits += stem
-            hidden += veiled
-        builtin += known
-    near = 0
-    if second and hits:
-        at = np.searchsorted(second, hits)
-        s = np.array([-(10**9), *second, 10**9])
-        gap = np.minimum(np.abs(s[at + 1] - hits), np.abs(s[at] - hits))
-        near = float((gap <= REACH).sum())
-    chars = max(1, len(text))
+            stem_hits += k * stem
+            hidden += k * veiled
+            seen.add(w)
+    near = 0.0
+    if seconds and hits:
+        at = np.array([flags[x] for x in low])
+        at = at[at > 0]
+        you, hit = np.flatnonzero(at & 2), np.flatnonzero(at & 1)
+        i = np.searchsorted(you, hit)
+        ends = np.array([-(10**9), *you, 10**9])
+        near = float((np.minimum(np.abs(ends[i + 1] - hit), np.abs(ends[i] - hit)) <= REACH).sum())
+    n, chars = max(1, words), max(1, len(text))
     return [
-        math.log1p(len(words)), math.log1p(len(hits) - stem_hits), (len(hits) - stem_hits) / n, math.log1p(stem_hits), stem_hits / n, odds / n, best, builtin / n,
-        hidden / n, len(second) / n, near / n, len(_UPPER.findall(text)) / chars, sum(x.isupper() and len(x) > 2 for x in raw) / n,
+        math.log1p(words), math.log1p(hits - stem_hits), (hits - stem_hits) / n, math.log1p(stem_hits), stem_hits / n, odds / n, best, builtin / n,
+        hidden / n, seconds / n, near / n, len(_UPPER.findall(text)) / chars, sum(k for x, k in raw.items() if len(x) > 2 and x.isupper()) / n,
         text.count("!") / n, text.count("?") / n, len(_MARK.findall(text)) / chars, len(_RUN.findall(text)) / n,
-        sum(not w.isalpha() and any(c.isalpha() for c in w) for w in cache) / n, sum(map(len, words)) / n, float(len({words[i] for i in hits})),
+        len(mixed) / n, letters / n, float(len(seen)),
     ]
 
 
@@ -191,18 +223,24 @@ class Model:
     def __init__(self, base: float, odds: dict[str, float] | None = None, trees: Trees | None = None, knots: tuple[np.ndarray, np.ndarray] | None = None):
         odds = odds or {}
         self.base, self.trees, self.knots = base, trees, knots
-        self.words = {t: o for t, o in odds.items() if not t.endswith("~")}
-        self.stems = {t[:-1]: o for t, o in odds.items() if t.endswith("~")}
+        self.lexicon = Lexicon({t: o for t, o in odds.items() if not t.endswith("~")}, {t[:-1]: o for t, o in odds.items() if t.endswith("~")})
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([features(t or "", self.words, self.stems) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+        return np.array([features(t or "", self.lexicon) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.base)
-        m = self.trees.margins(self.matrix(texts))
-        p = np.interp(m, *self.knots) if len(self.knots[0]) else np.full(len(m), self.base)
-        return np.clip(0.99 * p + 0.01 / (1 + np.exp(-m)), 0.0, 1.0)  # the small part orders what calibration ties
+        return self.calibrated(self.trees.margins(self.matrix(texts)))
+
+    def calibrated(self, m: np.ndarray) -> np.ndarray:
+        """The isotonic map between its knots; below and above them, tails towards 0 and 1."""
+        x, y = self.knots
+        if not len(x):
+            return np.full(len(m), self.base)
+        p = np.interp(m, x, y)
+        p = np.where(m < x[0], y[0] * np.exp(np.minimum(0.0, m - x[0])), p)
+        return np.where(m > x[-1], 1 - (1 - y[-1]) * np.exp(np.minimum(0.0, x[-1] - m)), p)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, dict[int, float]]:
@@ -220,7 +258,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return found, weight
 
 
-def _learn_lexicon(rows: DataFrame, size: int) -> dict[str, float]:
+def _learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and stems of the first part with surprisingly many toxic documents, and their smoothed log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +277,7 @@ def _learn_lexicon(rows: DataFrame, size: int) -> dict[str, float]:
     odds = F.log((F.col("n1") + 0.5) / (a + 1)) - F.log((F.col("n0") + 0.5) / (b + 1))
     expected = (F.col("n0") + F.col("n1")) * (a / (a + b))
     surprise = 2 * F.col("n1") * F.log(F.col("n1") / expected)
-    picked = counted.filter("n1 >= 2").select("term", odds.alias("odds"), surprise.alias("g")).filter("odds >= 2 and g >= 7").orderBy(F.desc("g"), "term").limit(size)
+    picked = counted.filter("n1 >= 2").select("term", odds.alias("odds"), surprise.alias("g")).filter("odds >= 2 and g >= 7")  # bounded by the sample
     return {r.term: float(r.odds) for r in picked.collect()}
 
 
@@ -251,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = (mass[1] + 0.5) / (mass[0] + mass[1] + 1.0) if sum(mass.values()) else 0.0
     if not total.get(0) or not total.get(1):
         return Model(base)
-    model = Model(base, _learn_lexicon(rows, LEXICON))
+    model = Model(base, _learn_lexicon(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

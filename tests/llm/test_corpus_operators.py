@@ -71,10 +71,55 @@ def test_isotonic_is_monotone_and_exact():
 
 def test_disguised_words():
     assert toxicity._plain("1d10t") == "idiot" and toxicity._plain("s.t.u.p.i.d") == "stupid"
-    x = dict(zip(toxicity.FEATURES, toxicity.features("you 1d10t, you!!", {"idiot": 3.0}, {}), strict=True))
+    x = dict(zip(toxicity.FEATURES, toxicity.features("you 1d10t, you!!", toxicity.Lexicon({"idiot": 3.0}, {})), strict=True))
     assert x["hidden_density"] > 0 and x["near_second"] > 0 and x["exclamations"] > 0
 
 
+def brute_features(text, words_odds, stems_odds):
+    """The features word by word, in order of the text."""
+    raw, words = text.split(), [w for x in text.lower().split() if (w := x.strip(toxicity._EDGE))]
+    n, chars = max(1, len(words)), max(1, len(text))
+    hits, odds, best, stems, hidden = [], 0.0, 0.0, 0, 0
+    for i, w in enumerate(words):
+        o, stem, veiled = words_odds.get(w, 0.0), False, False
+        for k in toxicity.STEMS:
+            if not words_odds.get(w) and len(w) > k and stems_odds.get(w[:k]):
+                o, stem = max(o, stems_odds[w[:k]]), True
+        p = toxicity._plain(w)
+        if not o and not w.isalpha() and p != w and (p in words_odds or p in toxicity.INSULTS):
+            o, veiled = words_odds.get(p, 2.0), True
+        if o:
+            hits.append(i)
+            odds, best, stems, hidden = odds + o, max(best, o), stems + stem, hidden + veiled
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= toxicity.REACH for j in you) for i in hits)
+    count = lambda f: sum(map(f, words))
+    mixed = {w for w in words if not w.isalpha() and any(c.isalpha() for c in w)}
+    return [
+        math.log1p(len(words)), math.log1p(len(hits) - stems), (len(hits) - stems) / n, math.log1p(stems), stems / n, odds / n, best, count(lambda w: w in toxicity.INSULTS) / n,
+        hidden / n, len(you) / n, near / n, sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / chars, sum(x.isupper() and len(x) > 2 for x in raw) / n,
+        text.count("!") / n, text.count("?") / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / chars, len(toxicity._RUN.findall(text)) / n,
+        len(mixed) / n, count(len) / n, float(len({words[i] for i in hits})),
+    ]
+
+
+def test_toxicity_features_against_plain_loops():
+    rng = random.Random(6)
+    some = ["you", "dein", "blarg", "bl4rg", "snorkel", "snorks", "IDIOT!", "st00pid", "s.c.u.m", "--", "x", "Élan", "???", "noooo", "a_b", "YOU,", "…", "ab3"]
+    words, stems = {"blarg": 2.5, "snork": 3.0, "scum": 4.0}, {"snor": 2.1, "snork": 2.4}
+    for n in (0, 1, 3, 40, 400):
+        for _ in range(20):
+            text = " ".join(rng.choice(some) for _ in range(n)) + rng.choice(["", "\n", "  !"])
+            assert toxicity.features(text, toxicity.Lexicon(words, stems)) == pytest.approx(brute_features(text, words, stems))
+
+
+def test_toxicity_scores_are_the_calibrated_values():
+    m = toxicity.Model(0.1, {"a": 1.0}, toxicity.Trees(), (np.array([-2.0, 0.0, 3.0]), np.array([0.1, 0.4, 0.9])))
+    x = np.array([-9.0, -3.0, -2.0, 0.0, 1.5, 3.0, 4.0, 50.0])
+    got = m.calibrated(x)
+    assert (np.diff(got) > 0).all() and got[2] == 0.1 and got[3] == 0.4 and got[5] == 0.9 and 0 <= got[0] and got[-1] <= 1
+
+
 # --- language ID -----------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +441,23 @@ def test_pack_covers_everything(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_part_filled_bins_of_shards_meet(spark):
+    """Odd sizes leave every shard a part-filled bin or more; packed on, about one shard's remain."""
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"w{i}"] + ["x"] * rng.randrange(20, 120)), f"s{i % 50}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    fill = lambda **k: packing.pack(df, capacity=256, per_source=4, shard=40, **k).groupBy("shard", "bin").sum("n_tokens").count()
+    tokens = sum(len(t.split()) for _, t, _ in rows)
+    on, once = fill(), fill(closed=0.0)
+    assert tokens / 256 <= on < once
+    near = df.select("doc_id", (F.col("doc_id") % 300).alias("c"))
+    got = packing.pack(df, capacity=256, shard=400, clusters=near).collect()
+    held = {}
+    for r in got:
+        held.setdefault((r["shard"], r["bin"]), []).append(r.doc_id % 300)
+    assert len(got) == 1200 and all(len(set(v)) == len(v) for v in held.values())
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
