@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fold, settle
 
 SAMPLE = 6000
-CACHED = 500_000  # distinct words whose judgement a worker keeps
+CACHED = 50_000  # distinct words whose judgement a worker keeps
 STEMS = (4, 5, 6)
 REACH = 5
 
@@ -74,11 +74,12 @@ class Lexicon:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems, self._judged = words, stems, {}
 
-    def judge(self, raw: str) -> tuple[str, float, bool, bool, bool, bool, bool]:
-        """word, log-odds (0: no hit), by a stem, in disguise, built-in insult, second person, letters and other signs mixed."""
+    def judge(self, raw: str) -> tuple:
+        """What a word says as it stands: plain word, log-odds (0: no hit), by a stem, in disguise, built-in insult, second
+        person, letters and other signs mixed, capitals, all capitals, marks, drawn-out runs."""
         got = self._judged.get(raw)
         if got is None:
-            w, odds, stem, veiled = raw.strip(_EDGE), 0.0, False, False
+            w, odds, stem, veiled = raw.lower().strip(_EDGE), 0.0, False, False
             if w:
                 odds = self.words.get(w, 0.0)
                 if not odds:
@@ -88,7 +89,9 @@ class Lexicon:
                     p = _plain(w)
                     if p != w and (p in self.words or p in INSULTS):
                         odds, veiled = self.words.get(p, 2.0), True
-            got = w, odds, stem, veiled, w in INSULTS, w in SECOND, bool(w) and not w.isalpha() and any(c.isalpha() for c in w)
+            mixed = bool(w) and not w.isalpha() and any(c.isalpha() for c in w)
+            signs = len(_UPPER.findall(raw)), len(raw) > 2 and raw.isupper(), len(_MARK.findall(raw)), len(_RUN.findall(raw))
+            got = w, odds, stem, veiled, w in INSULTS, w in SECOND, mixed, *signs
             if len(self._judged) < CACHED:
                 self._judged[raw] = got
         return got
@@ -102,13 +105,17 @@ class Lexicon:
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """FEATURES of a whole text: each distinct word is judged once, and counts do the rest."""
-    raw, low = Counter(text.split()), text.lower().split()
-    words = hits = stem_hits = builtin = hidden = seconds = letters = 0
+    raw = text.split()
+    words = hits = stem_hits = builtin = hidden = seconds = letters = capitals = shouted = marks = runs = 0
     odds = best = 0.0
     mixed, seen, flags = set(), set(), {}
-    for x, k in Counter(low).items():
-        w, o, stem, veiled, known, second, mix = lexicon.judge(x)
+    for x, k in Counter(raw).items():
+        w, o, stem, veiled, known, second, mix, upper, capital, mark, run = lexicon.judge(x)
         flags[x] = (4 if w else 0) | (2 if second else 0) | (1 if o else 0)
+        capitals += k * upper
+        shouted += k * capital
+        marks += k * mark
+        runs += k * run
         if not w:
             continue
         words += k
@@ -126,7 +133,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             seen.add(w)
     near = 0.0
     if seconds and hits:
-        at = np.array([flags[x] for x in low])
+        at = np.array([flags[x] for x in raw])
         at = at[at > 0]
         you, hit = np.flatnonzero(at & 2), np.flatnonzero(at & 1)
         i = np.searchsorted(you, hit)
@@ -135,8 +142,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     n, chars = max(1, words), max(1, len(text))
     return [
         math.log1p(words), math.log1p(hits - stem_hits), (hits - stem_hits) / n, math.log1p(stem_hits), stem_hits / n, odds / n, best, builtin / n,
-        hidden / n, seconds / n, near / n, len(_UPPER.findall(text)) / chars, sum(k for x, k in raw.items() if len(x) > 2 and x.isupper()) / n,
-        text.count("!") / n, text.count("?") / n, len(_MARK.findall(text)) / chars, len(_RUN.findall(text)) / n,
+        hidden / n, seconds / n, near / n, capitals / chars, shouted / n,
+        text.count("!") / n, text.count("?") / n, marks / chars, runs / n,
         len(mixed) / n, letters / n, float(len(seen)),
     ]
 

@@ -98,7 +98,7 @@ def brute_features(text, words_odds, stems_odds):
     return [
         math.log1p(len(words)), math.log1p(len(hits) - stems), (len(hits) - stems) / n, math.log1p(stems), stems / n, odds / n, best, count(lambda w: w in toxicity.INSULTS) / n,
         hidden / n, len(you) / n, near / n, sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / chars, sum(x.isupper() and len(x) > 2 for x in raw) / n,
-        text.count("!") / n, text.count("?") / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / chars, len(toxicity._RUN.findall(text)) / n,
+        text.count("!") / n, text.count("?") / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / chars, sum(len(toxicity._RUN.findall(x)) for x in raw) / n,
         len(mixed) / n, count(len) / n, float(len({words[i] for i in hits})),
     ]
 
