@@ -15,18 +15,18 @@ LIGATURES = (
 
 # Ranges of CJK characters, for joining lines and for squeezing spaces.
 CJK = (
-    r"⺀-〿぀-ヿ㐀-䶿一-鿿"
-    r"豈-﫿︰-﹏＀-｠￠-￦"
+    "\u2e80-\u303f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\ufe30-\ufe4f\uff00-\uff60\uffe0-\uffe6"
 )
 CJK_EDGE = (
-    r"　-〿぀-ヿ㐀-䶿一-鿿"
-    r"豈-﫿︰-﹏＀-｠￠-￦"
-    r"‐-―‥…─-╿"
+    "\u3000-\u303f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\ufe30-\ufe4f\uff00-\uff60\uffe0-\uffe6"
+    "\u2010-\u2015\u2025\u2026\u2500-\u257f"
 )
 
 # Kana and kanji ranges.
-HIRAGANA = r"ぁ-ゟ"
-KATAKANA = r"ァ-ヶ"
+HIRAGANA = "\u3041-\u309f"
+KATAKANA = "\u30a1-\u30f6"
 KANA = HIRAGANA + KATAKANA
 KANJI = r"㐀-䶿一-鿿豈-﫿"
 
@@ -91,3 +91,9 @@ MIN_RATIO, MAX_RATIO, MIN_SOURCE = 0.12, 3.0, 6
 # Price of a million tokens in and out, by model; the factor at peak times.
 PRICES = (("flash", 1.0, 4.0), ("pro", 4.5, 13.5))
 PEAK = 2.0
+
+# Class names of headings, vertical writing in style sheets, file names of cover images.
+HEAD_CLASS = r"bold|mfont|font-1[0-9]{2}per|title|heading|midashi"
+HEAD_LENGTH = 40
+VERTICAL = r"writing-mode\s*:\s*vertical|vertical-rl|vertical-lr"
+COVER_NAMES = ("cover", "hyoshi", "表紙")

@@ -83,7 +83,7 @@ def cost_guard(costs: DataFrame, most: float) -> DataFrame:
 
 def pick_cover(images: DataFrame) -> DataFrame:
     """doc_id, path: the first image marked as cover, else the first with a telling file name."""
-    rank = F.when(F.col("matter") == "cover", 0).when(F.col("path").rlike("(?i)cover|hyoshi"), 1)
+    rank = F.when(F.col("matter") == "cover", 0).when(F.element_at(F.split("path", "/"), -1).rlike("(?i)" + "|".join(X.COVER_NAMES)), 1)
     return images.withColumn("rank", rank).filter("rank is not null").groupBy("doc_id").agg(F.min_by("path", F.struct("rank", "ord")).alias("path"))
 
 

@@ -126,9 +126,9 @@ def repair_rounds(spark, sf):
     return provider.repair(items, engine)
 
 
-@query(PAIR + "SELECT conv_id AS batch, '[' || string_agg('{\"id\":\"' || seg_id || '\",\"text\":\"' || substr(replace(source, chr(10), ' '), 1, 0) || 'x\"}', ',' ORDER BY turn) || ']' AS payload FROM pair GROUP BY conv_id")
+@query(PAIR + """SELECT conv_id AS batch, '[' || string_agg('{"id":' || to_json(seg_id) || ',"text":' || to_json(source) || '}', ',' ORDER BY turn) || ']' AS payload FROM pair GROUP BY conv_id""")
 def batch_payload(spark, sf):
-    return provider.payload(pairs(spark, sf).select(F.col("conv_id").alias("batch"), F.col("turn").alias("ord"), "seg_id", F.lit("x").alias("text")))
+    return provider.payload(pairs(spark, sf).select(F.col("conv_id").alias("batch"), F.col("turn").alias("ord"), "seg_id", F.col("source").alias("text")))
 
 
 @query(PAIR + """SELECT conv_id AS batch, count(*) AS calls, CAST(sum(CASE WHEN turn % 2 = 0 THEN floor(length(source) / 2) ELSE turn END) AS BIGINT) AS tokens_in, CAST(sum(floor(length(target) / 2)) AS BIGINT) AS tokens_out FROM pair GROUP BY conv_id""")

@@ -262,7 +262,7 @@ c AS (SELECT *, sum(CASE WHEN is_top AND story THEN 1 ELSE 0 END) OVER (PARTITIO
 k AS (SELECT * FROM c WHERE (is_top AND story) OR (NOT is_top AND translatable AND story)),
 chaptered AS (SELECT doc_id, ord, block_id, text, CAST(chapter AS BIGINT) AS chapter,
   CASE WHEN chapter = 0 THEN '（前言）' ELSE max(CASE WHEN is_top THEN trim(text) END) OVER (PARTITION BY doc_id, chapter) END AS title FROM k),
-chapter_text AS (SELECT doc_id, chapter, title, count(*) AS blocks, coalesce(substr(string_agg(text, chr(10) ORDER BY ord) FILTER (trim(text) <> ''), 1, 200), '') AS text FROM chaptered GROUP BY ALL)
+chapter_text AS (SELECT doc_id, chapter, title, count(*) AS blocks, coalesce(substr(string_agg(text, chr(10) ORDER BY ord) FILTER (trim(text) <> ''), 1, 6000), '') AS text FROM chaptered GROUP BY ALL)
 """
 
 
@@ -277,12 +277,12 @@ def chapter_of_block(spark, sf):
 
 @query(_CHAPTER + "SELECT doc_id, chapter, title, blocks FROM chapter_text")
 def chapters(spark, sf):
-    return sq.chapter_texts(_chapters(spark, sf), 200).select("doc_id", "chapter", "title", "blocks")
+    return sq.chapter_texts(_chapters(spark, sf), 6000).select("doc_id", "chapter", "title", "blocks")
 
 
 @query(_CHAPTER + "SELECT doc_id, chapter, text FROM chapter_text")
 def chapter_text(spark, sf):
-    return sq.chapter_texts(_chapters(spark, sf), 200).select("doc_id", "chapter", "text")
+    return sq.chapter_texts(_chapters(spark, sf), 6000).select("doc_id", "chapter", "text")
 
 
 _BATCH = SEGMENT.replace("WITH lines", "WITH RECURSIVE lines", 1) + """, item AS (
@@ -331,7 +331,7 @@ def dry_run_cost(spark, sf):
 
 @query(_CHAPTER + ", s AS (SELECT doc_id, chapter, substr(text, 1, 20) AS summary FROM chapter_text) SELECT doc_id, chapter, coalesce(string_agg(summary, chr(10)) OVER (PARTITION BY doc_id ORDER BY chapter ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM s")
 def prev_context(spark, sf):
-    s = sq.chapter_texts(_chapters(spark, sf), 200).select("doc_id", "chapter", F.substring("text", 1, 20).alias("summary"))
+    s = sq.chapter_texts(_chapters(spark, sf), 6000).select("doc_id", "chapter", F.substring("text", 1, 20).alias("summary"))
     return sq.previous_context(s)
 
 
@@ -339,18 +339,18 @@ def prev_context(spark, sf):
 j AS (SELECT r.doc_id, r.chapter, s.chapter AS sc, s.summary, row_number() OVER (PARTITION BY r.doc_id, r.chapter ORDER BY s.chapter DESC) AS rn FROM r JOIN s ON r.doc_id = s.doc_id AND s.chapter < r.chapter)
 SELECT doc_id, chapter, string_agg(summary, chr(10) ORDER BY sc) AS context FROM j WHERE rn <= 4 GROUP BY ALL""")
 def context_range_join(spark, sf):
-    s = sq.chapter_texts(_chapters(spark, sf), 200).select("doc_id", "chapter", F.substring("text", 1, 20).alias("summary"))
+    s = sq.chapter_texts(_chapters(spark, sf), 6000).select("doc_id", "chapter", F.substring("text", 1, 20).alias("summary"))
     return sq.context_for(s.filter("chapter % 2 = 1").select("doc_id", "chapter"), s.filter("chapter % 2 = 0"))
 
 
 @query(_CHAPTER + "SELECT doc_id, chapter, text FROM chapter_text SEMI JOIN (SELECT doc_id, chapter FROM chapter_text WHERE blocks > 3) USING (doc_id, chapter)")
 def prune_summaries(spark, sf):
-    s = sq.chapter_texts(_chapters(spark, sf), 200)
+    s = sq.chapter_texts(_chapters(spark, sf), 6000)
     return sq.prune(s, s.filter("blocks > 3").select("doc_id", "chapter")).select("doc_id", "chapter", "text")
 
 
 @query(BLOCK + """, i AS (SELECT doc_id, ord, matter, 'images/' || CASE WHEN ord % 34 = 0 THEN 'cover' ELSE 'p' END || ord || '.jpg' AS path FROM block WHERE type = 'image'),
-r AS (SELECT *, CASE WHEN matter = 'cover' THEN 0 WHEN regexp_matches(path, '(?i)cover|hyoshi') THEN 1 END AS rank FROM i)
+r AS (SELECT *, CASE WHEN matter = 'cover' THEN 0 WHEN regexp_matches(path, '(?i)cover|hyoshi|表紙') THEN 1 END AS rank FROM i)
 SELECT doc_id, arg_min(path, rank * 1000000 + ord) AS path FROM r WHERE rank IS NOT NULL GROUP BY doc_id""")
 def cover_pick(spark, sf):
     path = F.concat(F.lit("images/"), F.when(F.col("ord") % 34 == 0, "cover").otherwise("p"), F.col("ord").cast("string"), F.lit(".jpg"))

@@ -111,9 +111,9 @@ def effective_text(spark, sf):
     return pairs(spark, sf).select("seg_id", t.effective_text(final, "source").alias("effective"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<rt\\b[^>]*>.*?</rt>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '[" + WS + "]+', ' ', 'g')) AS plain, len(regexp_extract_all(html, '<li>')) AS items FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<rt\\b[^>]*>.*?</rt>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '[" + WS + "]+', ' ', 'g')) AS plain, len(regexp_extract_all(html, '(?i)<rt\\b')) AS rubies FROM pages")
 def markup_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", t.without_rt("html").alias("plain"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"))
+    return table(spark, sf, "pages").select("page_id", t.without_rt("html").alias("plain"), F.regexp_count("html", F.lit(r"(?i)<rt\b")).cast("long").alias("rubies"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '([\\\\#$*_`@<>\\[\\]~])', '\\\\\\1', 'g'), '(?m)^([-+/=])', '\\\\\\1', 'g') AS escaped FROM documents")

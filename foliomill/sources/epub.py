@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.functions import fixed
+
 from .html import parse
 
-VERTICAL = re.compile(r"writing-mode\s*:\s*vertical|vertical-rl|vertical-lr", re.I)
-COVER_NAME = re.compile(r"cover|hyoshi", re.I)
+VERTICAL = re.compile(fixed.VERTICAL, re.I)
 
 
 def _name(tag: str) -> str:

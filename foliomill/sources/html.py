@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.functions import fixed
+
 HEADS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 SKIP = {"script", "style", "rt", "title"}
 FLOW = {"p", "li", "aside", "figcaption", "caption", "blockquote", "dt", "dd", *HEADS}
-_SPACE = re.compile(r"[\s　]+")
-_HEAD_CLASS = re.compile(r"bold|title|heading|midashi|font-1\d\dper", re.I)
+_SPACE = re.compile(r"[\s\u3000]+")
+_HEAD_CLASS = re.compile(fixed.HEAD_CLASS, re.I)
 _NOTE = re.compile(r"footnote|endnote|rearnote", re.I)
 
 
@@ -34,14 +36,19 @@ class BlockParser(HTMLParser):
         self._skip = 0
         self._text: list[str] = []
         self._kind, self._level, self._id, self._links = "", None, None, []
+        self._by_class = False  # a heading by its class only
         self._table: dict | None = None
+        self._caption: list[str] | None = None
         self._cell: list[str] | None = None
         self._note: dict | None = None
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         self._text = []
-        if text and self._kind:
+        if self._by_class and len(text) > fixed.HEAD_LENGTH:
+            self._kind, self._level = "paragraph", None
+        self._by_class = False
+        if text and self._kind and self._kind != "div":
             self.blocks.append({"type": self._kind, "level": self._level, "text": text, "note_id": self._id if self._kind == "footnote" else None, "refs": self._links})
         self._kind, self._level, self._id, self._links = "", None, None, []
 
@@ -59,7 +66,7 @@ class BlockParser(HTMLParser):
             self._skip += 1
         elif tag == "table":
             self._flush()
-            self._table = {"type": "table", "level": None, "text": "", "note_id": None, "refs": [], "rows": [], "cell_spans": []}
+            self._table = {"type": "table", "level": None, "text": "", "note_id": None, "refs": [], "caption": None, "rows": [], "cell_spans": []}
         elif self._table is not None:
             if tag == "tr":
                 self._table["rows"].append([])
@@ -70,6 +77,8 @@ class BlockParser(HTMLParser):
                     self._table["rows"].append([])
                     self._table["cell_spans"].append([])
                 self._table["cell_spans"][-1].append([_span(a.get("rowspan")), _span(a.get("colspan"))])
+            elif tag == "caption":
+                self._caption = []
         elif tag == "img" or (tag == "image" and "xlink:href" in a):
             self._flush()
             self.blocks.append({"type": "image", "level": None, "text": "", "note_id": None, "refs": [], "path": a.get("src") or a.get("xlink:href")})
@@ -82,10 +91,13 @@ class BlockParser(HTMLParser):
             elif note or tag == "aside":
                 self._kind = "footnote"
             elif _HEAD_CLASS.search(a.get("class", "")) and not heads:
-                self._kind, self._level = "heading", 1
+                self._kind, self._level, self._by_class = "heading", 1, True
             else:
                 self._kind = "paragraph"
             self._id = a.get("id")
+        elif tag == "div" and self._kind in ("", "div"):
+            self._flush()  # text of a div with a div or another block inside is no paragraph
+            self._kind, self._id = "div", a.get("id")
         elif tag == "br" and self._text:
             self._text.append(" ")
         if tag == "a" and a.get("href", "").startswith("#"):
@@ -98,9 +110,15 @@ class BlockParser(HTMLParser):
             if tag in ("td", "th") and self._cell is not None:
                 self._table["rows"][-1].append(_SPACE.sub(" ", "".join(self._cell)).strip())
                 self._cell = None
+            elif tag == "caption" and self._caption is not None:
+                self._table["caption"] = _SPACE.sub(" ", "".join(self._caption)).strip() or None
+                self._caption = None
             elif tag == "table":
                 self.blocks.append(self._table)
                 self._table = None
+        elif tag == "div" and self._kind == "div":
+            self._kind = "paragraph"
+            self._flush()
         elif tag in FLOW and not (self._kind == "footnote" and tag == "p"):
             self._flush()
 
@@ -111,6 +129,8 @@ class BlockParser(HTMLParser):
             self.ids[-1] = (self.ids[-1][0], _SPACE.sub(" ", data).strip())
         if self._cell is not None:
             self._cell.append(data)
+        elif self._caption is not None:
+            self._caption.append(data)
         elif self._kind:
             self._text.append(data)
 
@@ -136,7 +156,7 @@ def parse(html: str | None) -> BlockParser:
     return p
 
 
-BLOCKS = "{id} {kind}, ord int, type string, level int, text string, note_id string, refs array<string>, path string, rows array<array<string>>, cell_spans array<array<array<int>>>"
+BLOCKS = "{id} {kind}, ord int, type string, level int, text string, note_id string, refs array<string>, path string, caption string, rows array<array<string>>, cell_spans array<array<array<int>>>"
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -148,8 +168,8 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
             out = []
             for key, html in zip(f["id"], f["html"], strict=True):
                 for n, b in enumerate(parse(html).blocks, 1):
-                    out.append((key, n, b["type"], b["level"], b["text"], b["note_id"], b["refs"], b.get("path"), b.get("rows"), b.get("cell_spans")))
-            frame = pd.DataFrame(out, columns=[id_col, "ord", "type", "level", "text", "note_id", "refs", "path", "rows", "cell_spans"])
+                    out.append((key, n, b["type"], b["level"], b["text"], b["note_id"], b["refs"], b.get("path"), b.get("caption"), b.get("rows"), b.get("cell_spans")))
+            frame = pd.DataFrame(out, columns=[id_col, "ord", "type", "level", "text", "note_id", "refs", "path", "caption", "rows", "cell_spans"])
             frame["level"] = frame["level"].astype("Int64")
             yield frame
 

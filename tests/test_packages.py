@@ -89,3 +89,10 @@ def test_glossary_files(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"a": "b", "c": " "}', encoding="utf-8")
     assert [(r.term, r.expected) for r in glossary.load(spark, f"file://{tmp_path}/g.tsv").orderBy("gl_order").collect()] == [("レム", "蕾姆"), ("スバル", "昴")]
     assert [(r.term, r.expected) for r in glossary.load(spark, f"file://{tmp_path}/g.json").collect()] == [("a", "b")]
+
+
+def test_leaf_divs_captions_and_long_class_headings():
+    long = "a title that is much longer than forty characters are"
+    p = html.parse(f'<div>leaf <b>one</b></div><div>not a leaf<p>inside</p></div><p class="mfont">{long}</p><p class="mfont">short</p><table><caption>Cap  tion</caption><tr><td>x</td></tr></table>')
+    assert [(b["type"], b["text"]) for b in p.blocks] == [("paragraph", "leaf one"), ("paragraph", "inside"), ("paragraph", long), ("heading", "short"), ("table", "")]
+    assert p.blocks[-1]["caption"] == "Cap tion" and p.blocks[-1]["rows"] == [["x"]]
