@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window as W
 
 
 def overlap(a: DataFrame, b: DataFrame, col: str = "text") -> DataFrame:
@@ -30,31 +29,41 @@ def fragments(parts: DataFrame, wholes: DataFrame, key: list[str], text: str = "
     return parts.join(w, cond, "left_semi")
 
 
-def shared_chars(a: Column, b: Column) -> Column:
-    """Characters that two strings share, as multisets."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    xs, ys = chars(a), chars(b)
-    return F.aggregate(F.array_distinct(xs), F.lit(0), lambda acc, x: acc + F.least(count(xs, x), count(ys, x)))
+def char_tokens(text: Column) -> Column:
+    """A string as a set of numbers, one for each character and its how-manieth; shared ones are the shared characters."""
+
+    def numbered(chars: Column) -> Column:
+        count = lambda c: F.size(F.filter(chars, lambda x: x == c))
+        return F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), count(c)), lambda n: c * (1 << 32) + n)))
+
+    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return F.get(F.transform(F.array(codes), numbered), 0)  # bound once, not split again for each character
+
+
+def _likeness(a_chars: Column, b_chars: Column, n: Column) -> Column:
+    return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a_chars, b_chars)) / n)
 
 
 def quick_ratio(a: Column, b: Column) -> Column:
     """Twice the shared characters over all characters; 1 for two empty strings."""
-    n = F.length(a) + F.length(b)
-    return F.when(n == 0, 1.0).otherwise(2.0 * shared_chars(a, b) / n)
+    return _likeness(char_tokens(a), char_tokens(b), F.length(a) + F.length(b))
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str, band: int = 40) -> DataFrame:
     """For each row of a the most similar row of b with the same key whose length differs by at most band.
 
-    Lengths are binned by the band, so the range join is an equi-join on three bins.
+    Likeness is twice the shared characters over all characters, 1 for two empty strings; of equals the smallest id counts.
+    Lengths are binned by the band, so the range join is an equi-join on three bins; characters are numbered once a text,
+    so a pair costs one intersection.
     """
-    left = a.select(key, F.col("id").alias("a_id"), F.col("text").alias("a_text"), F.explode(F.array(*[F.floor(F.length("text") / (band + 1)) + d for d in (-1, 0, 1)])).alias("bin"))
-    right = b.select(F.col(key).alias("b_key"), F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.floor(F.length("text") / (band + 1)).alias("b_bin"))
-    j = left.join(right, (F.col(key) == F.col("b_key")) & (F.col("bin") == F.col("b_bin"))).filter((F.abs(F.length("a_text") - F.length("b_text")) <= band) & (F.col("a_id") != F.col("b_id")))
-    scored = j.select(key, "a_id", "b_id", F.round(quick_ratio(F.col("a_text"), F.col("b_text")), 6).alias("score"))
-    w = W.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    size = F.length("text")
+    left = a.select(key, F.col("id").alias("a_id"), size.alias("a_n"), char_tokens(F.col("text")).alias("a_chars")).withColumn("bin", F.explode(F.array(*[F.floor(F.col("a_n") / (band + 1)) + d for d in (-1, 0, 1)])))
+    right = b.select(F.col(key).alias("b_key"), F.col("id").alias("b_id"), size.alias("b_n"), char_tokens(F.col("text")).alias("b_chars"), F.floor(size / (band + 1)).alias("b_bin"))
+    j = left.join(right, (F.col(key) == F.col("b_key")) & (F.col("bin") == F.col("b_bin"))).filter((F.abs(F.col("a_n") - F.col("b_n")) <= band) & (F.col("a_id") != F.col("b_id")))
+    n = F.col("a_n") + F.col("b_n")
+    score = F.round(_likeness(F.col("a_chars"), F.col("b_chars"), n), 6)
+    best = j.groupBy(key, "a_id").agg(F.min(F.struct((-score).alias("minus"), "b_id")).alias("best"))
+    return best.select(key, "a_id", "best.b_id", (-F.col("best.minus")).alias("score"))
 
 
 @F.pandas_udf(DoubleType())

@@ -415,20 +415,20 @@ def golden_common(spark, sf):
     return a.select("text").intersect(b.select("text"))
 
 
-@query(SEGMENT + "SELECT DISTINCT h.seg_id FROM segment h JOIN segment l ON h.doc_id = l.doc_id AND contains(l.text, h.text) AND length(l.text) > length(h.text) WHERE h.type = 'heading'")
+@query(SEGMENT + "SELECT DISTINCT h.seg_id FROM segment h JOIN segment l ON h.doc_id = l.doc_id AND contains(l.text, h.text) AND length(l.text) > length(h.text)")
 def golden_fragments(spark, sf):
     s = segments(spark, sf)
-    return golden.fragments(s.filter("type = 'heading'"), s, ["doc_id"]).select("seg_id")
+    return golden.fragments(s, s, ["doc_id"]).select("seg_id")
 
 
-@query(SEGMENT + """, h AS (SELECT * FROM segment WHERE type = 'heading' AND length(text) < 200), j AS (
-  SELECT x.seg_id AS a_id, y.seg_id AS b_id, x.text AS s, y.text AS t FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.seg_id <> y.seg_id AND abs(length(x.text) - length(y.text)) <= 40),
+@query(SEGMENT + """, j AS (
+  SELECT x.seg_id AS a_id, y.seg_id AS b_id, x.text AS s, y.text AS t FROM segment x JOIN segment y ON x.doc_id = y.doc_id AND x.seg_id <> y.seg_id AND abs(length(x.text) - length(y.text)) <= 40),
 c AS (SELECT a_id, b_id, s, t, list_filter(string_split(s, ''), lambda c: c <> '') AS xs, list_filter(string_split(t, ''), lambda c: c <> '') AS ys FROM j),
 k AS (SELECT a_id, b_id, round(2.0::DOUBLE * list_sum(list_transform(list_distinct(xs), lambda c: least(len(list_filter(xs, lambda u: u = c)), len(list_filter(ys, lambda u: u = c))))) / (length(s) + length(t)), 6)::DOUBLE AS score FROM c)
 SELECT a_id, b_id, score FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rn FROM k) WHERE rn = 1""")
 def golden_residual(spark, sf):
-    h = segments(spark, sf).filter("type = 'heading' and length(text) < 200").select("doc_id", F.col("seg_id").alias("id"), "text")
-    return golden.nearest(h, h, "doc_id").select("a_id", "b_id", "score")
+    s = segments(spark, sf).select("doc_id", F.col("seg_id").alias("id"), "text")
+    return golden.nearest(s, s, "doc_id").select("a_id", "b_id", "score")
 
 
 @query(PAIR + f"SELECT seg_id, CAST(length(regexp_replace(source, '[^ぁ-ゟァ-ヶ]', '', 'g')) AS INTEGER) AS kana, CAST(length(regexp_replace(source, '[^一-鿿]', '', 'g')) AS INTEGER) AS kanji, CAST(length(regexp_replace(source, '[^\\x21-\\x7e]', '', 'g')) AS INTEGER) AS ascii, CAST(length(source) AS INTEGER) AS chars FROM pair")

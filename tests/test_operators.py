@@ -220,3 +220,18 @@ def test_output_stem_query_reads_past_what_is_dropped(spark, tmp_path):
 
     spark.createDataFrame([(1, "/" * 250 + "Title")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["output_stem"](spark, str(tmp_path)).first().stem == "Title"
+
+
+def test_nearest_takes_whole_long_texts(spark):
+    long = "word " * 60
+    rows = [(1, "a", long + "abc"), (1, "b", long + "abd"), (1, "c", long + "xyz"), (1, "d", "short"), (2, "e", long + "abc"), (1, "f", "")]
+    df = spark.createDataFrame(rows, "doc_id long, id string, text string")
+    best = {r.a_id: (r.b_id, r.score) for r in golden.nearest(df, df, "doc_id").collect()}
+    n = len(long) + 3
+    assert best["a"] == ("b", round((n - 1) / n, 6)) and best["b"] == ("a", round((n - 1) / n, 6)) and best["c"][0] in ("a", "b")
+    assert best["d"] == ("f", 0.0) and "e" not in best
+
+
+def test_fragments_are_found_among_paragraphs(spark):
+    df = spark.createDataFrame([(1, "a", "b" * 300), (1, "b", "b" * 299), (2, "c", "b" * 299), (1, "d", "z")], "doc_id long, id string, text string")
+    assert [r.id for r in golden.fragments(df, df, ["doc_id"]).collect()] == ["b"]
