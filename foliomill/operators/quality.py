@@ -19,25 +19,27 @@ def _missing_term(glossary: list[tuple[str, str]], source: Column, target: Colum
 
 def issues(pairs: DataFrame, glossary: list[tuple[str, str]] = (), min_ratio: float = X.MIN_RATIO, max_ratio: float = X.MAX_RATIO, min_source: int = X.MIN_SOURCE) -> DataFrame:
     """seg_id, kind, severity for each issue. A segment without a target stops; so does one equal to its source."""
-    src, tgt = t.text_of("source"), F.trim(t.text_of("target"))
+    once = pairs.select("seg_id", "status", t.text_of("source").alias("_s"), F.trim(t.text_of("target")).alias("_t"))
+    once = once.select("*", t.remove_ws("_s").alias("_bs"), t.remove_ws("_t").alias("_bt"))  # each text is stripped once, not in every rule
+    src, tgt, bare_src, bare_tgt = (F.col(c) for c in ("_s", "_t", "_bs", "_bt"))
     none = tgt == ""
-    same = ~none & (t.remove_ws(tgt) == t.remove_ws(src))
+    same = ~none & (bare_tgt == bare_src)
     go = ~none & ~same
     hira, kata = tgt.rlike(f"[{X.HIRAGANA}]"), tgt.rlike(f"[{X.KATAKANA}]")
-    n = F.length(t.remove_ws(src))
-    ratio = F.length(t.remove_ws(tgt)) / F.nullif(n, F.lit(0))
+    n = F.length(bare_src)
+    ratio = F.length(bare_tgt) / F.nullif(n, F.lit(0))
     rule = lambda when, kind, severity: F.when(when, F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
     warn, error = F.lit("warn"), F.lit("error")
     found = F.array(
         rule(none, "untranslated", F.when(F.col("status") == "pending", warn).otherwise(error)),
-        rule(same & t.is_untranslated(src, tgt), "source_leak", error),
+        rule(same & (bare_src != "") & t.has_kana(bare_src), "source_leak", error),
         rule(go & hira, "kana_left", error),
         rule(go & ~hira & kata, "katakana_left", warn),
         rule(go & (F.size(t.traditional_chars(tgt)) >= 2), "traditional", warn),
         rule(go & _missing_term(list(glossary), src, tgt).isNotNull(), "term_missing", error),
         rule(go & (n >= min_source) & ((ratio < min_ratio) | (ratio > max_ratio)), "length_anomaly", warn),
     )
-    return pairs.select("seg_id", F.explode(F.array_compact(found)).alias("i")).select("seg_id", "i.kind", "i.severity")
+    return once.select("seg_id", F.explode(F.array_compact(found)).alias("i")).select("seg_id", "i.kind", "i.severity")
 
 
 def missing_terms(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
