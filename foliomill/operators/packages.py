@@ -29,6 +29,11 @@ def repeated(items: DataFrame, col: str, level: str, code: str) -> DataFrame:
     return items.groupBy("doc_id", col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_issue(level, code, F.col(col)))
 
 
+def missing_files(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Packages that are wanted and hold no entry."""
+    return docs.join(entries, "doc_id", "left_anti").select(*_issue("error", "missing", F.lit(None)))
+
+
 def missing_items(items: DataFrame, entries: DataFrame) -> DataFrame:
     e = entries.select("doc_id", F.col("name").alias("href"))
     return items.join(e, ["doc_id", "href"], "left_anti").select(*_issue("error", "missing-item", F.col("href")))

@@ -19,16 +19,21 @@ def units(blocks: DataFrame) -> DataFrame:
     return plain.unionByName(cells).withColumn("unit_ord", n).filter(F.trim("text") != "").select("doc_id", "unit_id", "unit_ord", "kind", "text")
 
 
-def carry_over(segments: DataFrame, memory: DataFrame) -> DataFrame:
-    """Segments that the memory knows, with its translation; a null language counts as empty on both sides."""
-    s = segments.withColumn("k_lang", F.coalesce("source_lang", F.lit("")))
-    m = memory.select(F.col("text_hash").alias("k_hash"), F.coalesce("source_lang", F.lit("")).alias("m_lang"), "translation")
-    return s.join(m, (F.col("text_hash") == F.col("k_hash")) & (F.col("k_lang") == F.col("m_lang"))).drop("k_hash", "m_lang", "k_lang")
+def carry_over(segments: DataFrame, memory: DataFrame, target_lang: str = "zh") -> DataFrame:
+    """Pending segments that the memory of a target language knows, with its translation.
 
+    A segment without a language meets nothing, as in any join; an empty language meets an empty one. Segments without a
+    status column are all pending. Hash and language are the memory's key, so no segment comes twice.
+    """
+    s = segments.filter("status = 'pending'") if "status" in segments.columns else segments
+    m = memory.filter(F.col("target_lang") == target_lang).select("text_hash", "source_lang", "translation")
+    return s.drop("translation").join(m, ["text_hash", "source_lang"])
 
-def memory_of(segments: DataFrame) -> DataFrame:
-    """One memory entry for each (hash, language); the translation is the last by order."""
-    return segments.groupBy("text_hash", F.coalesce("source_lang", F.lit("")).alias("source_lang")).agg(F.max_by("translation", F.struct("doc_id", "ord")).alias("translation"))
+
+def memory_of(segments: DataFrame, target_lang: str = "zh") -> DataFrame:
+    """One memory entry for each (hash, language); the translation is the last by order. A null language is kept as empty."""
+    key = ["text_hash", F.coalesce("source_lang", F.lit("")).alias("source_lang")]
+    return segments.groupBy(*key).agg(F.max_by("translation", F.struct("doc_id", "ord")).alias("translation")).withColumn("target_lang", F.lit(target_lang))
 
 
 def reimport(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ _MEMORY = SEGMENT + """, memory AS (
   SELECT text_hash, coalesce(source_lang, '') AS source_lang, arg_max('tr ' || text, doc_id * 100000 + ord) AS translation
   FROM segment WHERE doc_id % 2 = 0 GROUP BY ALL
 ), carried AS (
-  SELECT s.*, m.translation FROM segment s JOIN memory m ON s.text_hash = m.text_hash AND coalesce(s.source_lang, '') = m.source_lang WHERE s.doc_id % 2 = 1
+  SELECT s.*, m.translation FROM segment s JOIN memory m ON s.text_hash = m.text_hash AND s.source_lang = m.source_lang WHERE s.doc_id % 2 = 1
 )
 """
 

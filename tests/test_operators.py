@@ -29,9 +29,12 @@ def test_reimport_shifts_ids(spark):
 
 
 def test_carry_over_across_documents(spark):
-    s = spark.createDataFrame([("a", 1, "共通の文です。", None), ("b", 1, "共通の文です。", None), ("b", 2, "別", None)], "doc_id string, ord int, text string, source_lang string").withColumn("text_hash", t.text_hash("text"))
-    memory = seg.memory_of(s.filter("doc_id = 'a'").withColumn("translation", F.lit("T")))
-    assert [r.translation for r in seg.carry_over(s.filter("doc_id = 'b'"), memory).collect()] == ["T"]
+    rows_ = [("a", 1, "雨が上がる。", "ja", "done"), ("a", 2, "夜が来た。", None, "done"), ("b", 1, "雨が上がる。", "ja", "pending"), ("b", 2, "夜が来た。", None, "pending"), ("b", 3, "夜が来た。", "", "pending"), ("b", 4, "雨が上がる。", "ja", "done")]
+    s = spark.createDataFrame(rows_, "doc_id string, ord int, text string, source_lang string, status string").withColumn("text_hash", t.text_hash("text"))
+    memory = seg.memory_of(s.filter("doc_id = 'a'").withColumn("translation", F.concat(F.lit("T"), F.col("ord").cast("string"))))
+    got = {r.ord: r.translation for r in seg.carry_over(s.filter("doc_id = 'b'"), memory).collect()}
+    assert got == {1: "T1", 3: "T2"}  # a null language meets nothing, a finished segment is left alone
+    assert seg.carry_over(s.filter("doc_id = 'b'"), memory, "en").count() == 0
 
 
 def test_search_wildcards(spark):
