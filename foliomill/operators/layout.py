@@ -53,29 +53,42 @@ def running_heads(candidates: DataFrame, pages: DataFrame, min_ratio: float = 0.
     return hits.join(pages, "doc_id").filter(F.col("n") >= need).select("doc_id", "text", "n")
 
 
-def margin_rows(rows: DataFrame, axis: str = "y", band: float = 0.06, gap_ratio: float = 1.6, max_len: int = 30) -> DataFrame:
-    """Short rows in the outer band of a page, apart from every other row by 1.6 median gaps or more."""
-    page = W.partitionBy("doc_id", "page")
+def _with_margin(rows: DataFrame, axis: str = "y", band: float = 0.06, gap_ratio: float = 1.6, max_len: int = 30) -> DataFrame:
+    """rows with a column margin: short rows in the outer band of a page, 1.6 median gaps or more from every other row.
+
+    Blank rows are windowed apart from the others, so that they count for nothing.
+    """
+    page = W.partitionBy("doc_id", "page", "_live")
     order = page.orderBy(axis, "row")
     c = F.col(axis)
-    live = rows.filter(F.trim("text") != "")
-    live = live.withColumn("n", F.count(F.lit(1)).over(page)).withColumn("lo", F.min(c).over(page)).withColumn("hi", F.max(c).over(page))
-    live = live.withColumn("step", c - F.lag(c).over(order))
-    gaps = F.percentile(F.when(F.col("step") > 0.01, F.col("step")), 0.5).over(page)
+    live = rows.withColumn("_live", F.coalesce(F.trim("text") != "", F.lit(False)))
+    live = live.withColumn("_n", F.count(F.lit(1)).over(page)).withColumn("_lo", F.min(c).over(page)).withColumn("_hi", F.max(c).over(page))
+    live = live.withColumn("_step", c - F.lag(c).over(order)).withColumn("_next", F.lead(c).over(order) - c)
+    live = live.withColumn("_med", F.percentile(F.when(F.col("_step") > 0.01, F.col("_step")), 0.5).over(page))
     far = F.lit(float("inf"))
-    live = live.withColumn("med", gaps).withColumn("alone", F.least(F.coalesce("step", far), F.coalesce(F.lead(c).over(order) - c, far)))
-    pos = (c - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    ok = (F.col("n") >= 3) & F.col("med").isNotNull() & (F.length("text") <= max_len) & ~t.is_page_number("text") & ~((pos > band) & (pos < 1.0 - band)) & (F.col("alone") >= F.col("med") * gap_ratio)
-    return live.filter(ok).select("doc_id", "page", "row", "text")
-
-
-def without_headers(rows: DataFrame) -> DataFrame:
-    """Rows that are neither a running head nor a page number."""
-    heads = running_heads(margin_rows(rows), page_counts(rows)).select("doc_id", "text")
-    margins = margin_rows(rows).join(heads, ["doc_id", "text"], "left_semi").select("doc_id", "page", "row")
-    numbers = page_number_rows(rows).select("doc_id", "bucket")
-    rest = rows.join(margins, ["doc_id", "page", "row"], "left_anti").withColumn("bucket", F.when(t.is_page_number("text"), F.rint(F.col("y") / 8.0).cast("int")))
-    return rest.join(numbers, ["doc_id", "bucket"], "left_anti").drop("bucket")
+    alone = F.least(F.coalesce("_step", far), F.coalesce("_next", far))
+    pos = (c - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    ok = F.col("_live") & (F.col("_n") >= 3) & (F.length("text") <= max_len) & ~t.is_page_number("text") & ~((pos > band) & (pos < 1.0 - band)) & (alone >= F.col("_med") * gap_ratio)
+    return live.withColumn("margin", F.coalesce(ok, F.lit(False))).drop("_live", "_n", "_lo", "_hi", "_step", "_next", "_med")
+
+
+def margin_rows(rows: DataFrame, axis: str = "y", band: float = 0.06, gap_ratio: float = 1.6, max_len: int = 30) -> DataFrame:
+    """Short rows in the outer band of a page, apart from every other row by 1.6 median gaps or more."""
+    return _with_margin(rows, axis, band, gap_ratio, max_len).filter("margin").select("doc_id", "page", "row", "text")
+
+
+def without_headers(rows: DataFrame, head_ratio: float = 0.05, number_ratio: float = 0.02, min_pages: int = 3, tol: float = 8.0) -> DataFrame:
+    """Rows that are neither a running head nor a page number: the rules of running_heads and page_number_rows in one pass.
+
+    Rows are dealt by document once; every window is of a document or a part of one, so none needs a shuffle of its own.
+    """
+    distinct_pages = lambda when, *by: F.size(F.collect_set(F.when(when, F.col("page"))).over(W.partitionBy("doc_id", *by)))
+    need = lambda ratio: F.greatest(F.lit(min_pages), F.floor(F.col("_pages") * ratio).cast("int"))
+    number = F.when(t.is_page_number("text"), F.rint(F.col("y") / tol).cast("int"))
+    flagged = _with_margin(rows.repartition("doc_id")).withColumn("_bucket", number).withColumn("_pages", distinct_pages(F.lit(True)))
+    flagged = flagged.withColumn("_heads", distinct_pages(F.col("margin"), "text")).withColumn("_numbers", distinct_pages(F.col("_bucket").isNotNull(), "_bucket"))
+    drop = (F.col("margin") & (F.col("_heads") >= need(head_ratio))) | (F.col("_bucket").isNotNull() & (F.col("_numbers") >= need(number_ratio)))
+    return flagged.filter(~drop).select(*rows.columns)
 
 
 def paragraphs(rows: DataFrame, height: float = DEFAULT_HEIGHT, vertical: bool = False) -> DataFrame:
