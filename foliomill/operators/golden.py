@@ -29,6 +29,21 @@ def fragments(parts: DataFrame, wholes: DataFrame, key: list[str], text: str = "
     return parts.join(w, cond, "left_semi")
 
 
+def exact_hits(a: DataFrame, b: DataFrame, text: str = "text") -> DataFrame:
+    """One row: paragraphs of a with their repeats, those that stand in b character by character, and their share."""
+    known = b.select(text).distinct().withColumn("hit", F.lit(1))
+    out = a.join(known, text, "left").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
+    return out.withColumn("share", F.round(F.col("hits") / F.greatest("n", F.lit(1)), 6))
+
+
+def short_parts(rows: DataFrame, most: int = 8, top: int = 12, text: str = "text") -> DataFrame:
+    """kind, text, n: how many texts are short (of `most` characters or fewer), and the most frequent of one to three Latin letters or digits."""
+    by = rows.filter(F.length(text) <= most).groupBy(text).agg(F.count(F.lit(1)).alias("n"))
+    short = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("short").alias("kind"), F.lit(None).cast("string").alias("text"), "n")
+    latin = by.filter(F.col(text).rlike("^[0-9A-Za-z\uff10-\uff19]{1,3}$")).orderBy(F.desc("n"), text).limit(top)
+    return short.unionByName(latin.select(F.lit("latin").alias("kind"), F.col(text).alias("text"), "n"))
+
+
 def char_tokens(text: Column) -> Column:
     """A string as a set of numbers, one for each character and its how-manieth; shared ones are the shared characters."""
 

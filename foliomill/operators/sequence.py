@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from foliomill.functions import fixed as X
+from foliomill.functions import text as t
 
 FRONT = "（前言）"
 
@@ -90,3 +91,12 @@ def pick_cover(images: DataFrame) -> DataFrame:
 def prune(summaries: DataFrame, keep: DataFrame) -> DataFrame:
     """Summaries of the chapters that are kept; an empty keep set deletes all."""
     return summaries.join(keep, ["doc_id", "chapter"], "left_semi")
+
+
+def estimate(texts: DataFrame, price_in: float, price_out: float, contexts: DataFrame | None = None, overhead: float = 1.4, answer: float = 0.7) -> DataFrame:
+    """One row: tokens in and out and the cost of a run over texts; contexts (text) are what each batch repeats, and count once a batch."""
+    own = texts.agg(F.floor(F.coalesce(F.sum(t.estimate_tokens("text")), F.lit(0)) * overhead).alias("n"))
+    if contexts is not None:
+        own = own.unionByName(contexts.filter("text <> ''").agg(F.coalesce(F.sum(t.estimate_tokens("text")), F.lit(0)).alias("n")))
+    total = own.agg(F.sum("n").alias("tokens_in")).withColumn("tokens_out", F.floor(F.col("tokens_in") * answer))
+    return total.withColumn("cost", F.round((F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6, 8))

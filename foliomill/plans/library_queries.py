@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.operators import library as lib, packages as pk, quality, segments as seg, sequence as sq, terms
+from foliomill.operators import golden, library as lib, packages as pk, quality, segments as seg, sequence as sq, terms
 from foliomill.sources.tables import blocks, job_events, page_rows, pairs, segments, table, translatable, with_matter
 
 from .registry import BLOCK, JOB, PAGE_ROW, PAIR, SEGMENT, query
@@ -296,3 +296,26 @@ def typeset_table(spark, sf):
     b = blocks(spark, sf).filter((F.col("type") == "table") & (F.size(F.get("rows", 0)) > 1))
     spans = F.array(F.array(F.array(F.lit(2), F.lit(1))))
     return b.select("doc_id", "block_id", lib.typeset_table(F.col("rows"), spans, F.when(F.col("ord") % 2 == 0, F.col("block_id"))).alias("body"))
+
+
+# --- comparison and estimates ----------------------------------------------------------------------------------------
+
+
+@query(_GOLD + "SELECT count(*) AS n, count(*) FILTER (text IN (SELECT text FROM b)) AS hits, round(count(*) FILTER (text IN (SELECT text FROM b)) / count(*), 6)::DOUBLE AS share FROM a")
+def golden_exact_hits(spark, sf):
+    return golden.exact_hits(*_sides(spark, sf))
+
+
+@query("""WITH w AS (SELECT unnest(string_split(text, ' ')) AS text FROM conversations), s AS (SELECT text, count(*) AS n FROM w WHERE length(text) <= 8 GROUP BY text)
+SELECT 'short' AS kind, CAST(NULL AS VARCHAR) AS text, CAST(sum(n) AS BIGINT) AS n FROM s
+UNION ALL SELECT 'latin', text, n FROM (SELECT text, n FROM s WHERE regexp_matches(text, '^[0-9A-Za-z\\x{ff10}-\\x{ff19}]{1,3}$') ORDER BY n DESC, text LIMIT 12)""")
+def golden_short_parts(spark, sf):
+    return golden.short_parts(table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("text")))
+
+
+@query(_CHAPTER + """, own AS (SELECT CAST(floor(sum(greatest(1, CAST(floor(length(text) / 1.5) AS INTEGER))) * 1.4::DOUBLE) AS BIGINT) AS own FROM block WHERE type IN ('heading', 'paragraph') AND trim(text) <> ''),
+extra AS (SELECT CAST(sum(greatest(1, CAST(floor(length(title) / 1.5) AS INTEGER))) AS BIGINT) AS extra FROM chapter_text WHERE title <> ''), est AS (SELECT own.own + extra.extra AS tokens_in FROM own, extra)
+SELECT tokens_in, CAST(floor(tokens_in * 0.7::DOUBLE) AS BIGINT) AS tokens_out, round((tokens_in * 2.0::DOUBLE + floor(tokens_in * 0.7::DOUBLE) * 8.0::DOUBLE) / 1e6, 8)::DOUBLE AS cost FROM est""")
+def run_estimate(spark, sf):
+    contexts = sq.chapter_texts(_chapters(spark, sf), 6000).select(F.col("title").alias("text"))
+    return sq.estimate(segments(spark, sf), 2.0, 8.0, contexts)

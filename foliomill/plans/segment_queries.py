@@ -442,10 +442,14 @@ def cjk_space_residual(spark, sf):
     return table(spark, sf, "conversations").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(k, F.lit("[ぁ-ゟ] [ぁ-ゟ]"))).alias("spaced"))
 
 
-@query(PAIR + "SELECT CASE WHEN source = target THEN 'equal' WHEN regexp_replace(source, '\\s+', '', 'g') = regexp_replace(target, '\\s+', '', 'g') THEN 'space' ELSE 'other' END AS class, count(*) AS n FROM pair GROUP BY 1")
+_SQUEEZED, _PLAIN = ((f"regexp_replace({x}, '\\s+', '', 'g')" for x in ("source", "target")), [f"regexp_replace(regexp_replace({x}, '\\s+', '', 'g'), '[[:punct:]]', '', 'g')" for x in ("source", "target")])
+
+
+@query(PAIR + f"SELECT CASE WHEN source = target THEN 'equal' WHEN {' = '.join(_SQUEEZED)} THEN 'space' WHEN {' = '.join(_PLAIN)} THEN 'punctuation' WHEN {' = '.join(f'lower({x})' for x in _PLAIN)} THEN 'case' ELSE 'text' END AS class, count(*) AS n FROM (SELECT source, CASE turn % 5 WHEN 0 THEN source || ' !' WHEN 1 THEN translate(source, 'bcdfst', 'BCDFST') WHEN 2 THEN replace(source, ' ', '  ') WHEN 3 THEN source ELSE target END AS target FROM pair) GROUP BY 1")
 def residual_classes(spark, sf):
-    k = golden.residual_class(F.col("source"), F.col("target"))
-    return pairs(spark, sf).groupBy(F.when(k.isin("equal", "space"), k).otherwise("other").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    n, s = F.col("turn") % 5, F.col("source")
+    target = F.when(n == 0, F.concat(s, F.lit(" !"))).when(n == 1, F.translate(s, "bcdfst", "BCDFST")).when(n == 2, F.replace(s, F.lit(" "), F.lit("  "))).when(n == 3, s).otherwise(F.col("target"))
+    return pairs(spark, sf).groupBy(golden.residual_class(s, target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
