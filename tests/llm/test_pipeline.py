@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_dedup import lower
 from test_corpus_operators import toxic_corpus
@@ -107,3 +108,50 @@ def test_near_copies_of_odd_rows(spark):
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(map(str, [1, None, None, 5, 7, 7]))
     assert nearcopies.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_meet_by_their_fingerprints_only(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "other"])]
+    bits = nearcopies.KEY_BITS
+    tables = nearcopies.table_counts(bits, nearcopies.SIMILARITY)
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    sims = [nearcopies.simhash_bits(s, -(-int(tables[-1]) * bits // 64)) for s in sets]
+    sims[2] = bytes(255 - x for x in sims[2])  # the same shingles, but no bit in common
+    rows = [(i, nearcopies.key_of(s), len(s), sim) for i, (s, sim) in enumerate(zip(sets, sims, strict=True))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_fm_id long, _fm_text string")
+    facts = spark.createDataFrame(rows, "_fm_id long, key long, size long, sim binary")
+    assert {frozenset(r) for r in nearcopies.links(docs, facts).collect()} == {frozenset((rows[0][1], rows[1][1]))}
+
+
+def test_simhash_bits_against_plain_counting():
+    rng, mask = random.Random(3), (1 << 64) - 1
+    for n in (0, 1, 2, 5, 254, 255, 256, 700):
+        hashes = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)})
+        expected = b""
+        for word in range(1, 4):
+            ones = [0] * 64
+            for h in hashes:
+                x = (h + word * 0x9E3779B97F4A7C15) & mask
+                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+                x = (x ^ (x >> 31)).to_bytes(8, "little")
+                for k in range(64):
+                    ones[k] += x[k // 8] >> (7 - k % 8) & 1
+            expected += int("".join("1" if 2 * k > n else "0" for k in ones), 2).to_bytes(8, "big")
+        assert nearcopies.simhash_bits(np.array(hashes, dtype=np.int64), 3) == expected
+
+
+@pytest.mark.parametrize("a, b, c", [(4, 5, 4), (12, 15, 12), (36, 36, 32), (450, 450, 400)])
+def test_pairs_at_the_least_similarity_meet(a, b, c):
+    rng, bits = np.random.default_rng(a), nearcopies.KEY_BITS
+    tables = nearcopies.table_counts(bits, 0.8)
+    q = nearcopies.differs(0.8)[min(a, nearcopies.SMALL)]
+    own, apart = min(int(tables[min(n, nearcopies.SMALL)]) for n in (a, b)), 0
+    for _ in range(60):
+        h = rng.integers(-(1 << 63), (1 << 63) - 1, a + b - c, dtype=np.int64)
+        x, y = (np.frombuffer(nearcopies.simhash_bits(s, own * bits // 64 + 1), dtype=np.uint8) for s in (h[:a], h[a - c :]))
+        apart += float(np.unpackbits(x ^ y).mean())
+        met = (x ^ y)[: own * bits // 8].reshape(own, bits // 8)
+        assert (met == 0).all(axis=1).any()
+    assert apart / 60 < q + 0.01
