@@ -100,6 +100,29 @@ def test_near_copies_against_all_pairs_of_five_word_shingles(spark, limit):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values())) and len(set(root.values())) < len(texts) - 40
 
 
+@pytest.mark.parametrize("limit", [nearcopies.LIST_LIMIT, 3])
+def test_rows_of_a_near_copy_group_grow_with_its_sets(spark, monkeypatch, limit):
+    rng, made, settle = random.Random(5), [], nearcopies.settle
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(160):  # links within the group, and 40 texts that nearly link
+        words = list(base)
+        for at in rng.sample(range(120), 1 if k < 120 else 2):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+
+    def counted(df, what="table"):
+        out = settle(df, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "settle", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in nearcopies.drop_near_copies(docs, limit=limit).collect())
+    assert got == sorted(set(near_groups(dict(enumerate(texts))).values())) and len(got) < 60
+    assert all(n <= 4 * len(texts) for _, n in made), made  # met: at most a row a set and a task
+
+
 def test_near_copies_of_odd_rows(spark):
     long = " ".join(f"w{i % 9000}" for i in range(20_000))
     rows = [(1, long, "a"), (2, long + " more", "b"), (None, long, "n"), (None, "lone text of six words here", "n"), (5, None, "x"), (6, "", "x"), (7, "x y", "y"), (7, "x  Y", "y")]
