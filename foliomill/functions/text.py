@@ -112,9 +112,14 @@ def segment_kind(offset: Column, height: Column, lo: float = 0.30, hi: float = 1
     return F.when(offset < height * lo, "cont").when(offset < height * hi, "start").otherwise("inner")
 
 
+def strip_lead(text: Column) -> Column:
+    """Text without spaces and dashes at its start."""
+    return F.regexp_replace(text, "^[ \\u3000\\u2500\\-\\u2014]+", "")
+
+
 def strip_title_prefix(text: Column, title: Column) -> Column:
     rest = F.substring(text, F.length(title) + 1, F.length(text))
-    return F.when((title != "") & F.startswith(text, title), F.regexp_replace(rest, "^[ \\u3000\\u2500\\-\\u2014]+", "")).otherwise(text)
+    return F.when((title != "") & F.startswith(text, title), strip_lead(rest)).otherwise(text)
 
 
 def tsv_escape(col: Column | str) -> Column:
