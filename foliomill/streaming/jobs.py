@@ -13,8 +13,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The files of that name in a folder as a stream; ts gets a zone, since watermarks need one."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The table of that name in a folder, one file or a folder of them, as a stream; ts gets a zone, since watermarks need one.
+
+    The name is written as a pattern, since a stream takes a plain path for a folder.
+    """
+    return spark.readStream.schema(EVENTS).parquet(f"{folder}/{{{name}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def job_changes(stream: DataFrame) -> DataFrame:
@@ -80,7 +83,11 @@ def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all input that is there, into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all input that is there. Appended rows go from the tasks into Parquet files in the folder of the checkpoint;
+    the other modes, which files cannot take, end in a memory table, which the driver holds whole."""
+    spark = stream.sparkSession
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    rows = f"{checkpoint}/rows"
+    q = out.format("parquet").option("path", rows).start() if mode == "append" else out.format("memory").start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(rows) if mode == "append" else spark.table(name)

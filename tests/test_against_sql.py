@@ -26,3 +26,15 @@ def test_title_prefix_of_odd_documents(spark, tmp_path):
     rows = [(10 * n + k, x, "en", source) for n, x in enumerate(texts) for k, source in enumerate(["web", "", None])]
     ours, sql = both(spark, tmp_path, "title_prefix", {"documents": spark.createDataFrame(rows, DOC)})
     assert len(sql) == 27 and ours == sql
+
+
+def test_stream_job_changes_go_into_files_not_through_the_driver(spark, tmp_path):
+    events = spark.range(60).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 7 as user_id", "if(id % 3 = 0, 'view', 'click') as event_type", "id / 10.0D as value", "'{}' as props")
+    ours, sql = both(spark, tmp_path, "stream_job_changes", {"events": events})
+    assert sql and ours == sql
+    assert all(f.endswith(".parquet") for f in entry.queries()["stream_job_changes"](spark, str(tmp_path)).inputFiles())
+
+
+def test_stream_job_changes_of_no_events(spark, tmp_path):
+    none = spark.range(0).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id as user_id", "'' as event_type", "0D as value", "'' as props")
+    assert both(spark, tmp_path, "stream_job_changes", {"events": none}) == ([], [])
