@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Lengths of texts that are compared in one task; cells of a block of character counts.
+RANGE, BLOCK = 512, 1 << 22
+
 
 def overlap(a: DataFrame, b: DataFrame, col: str = "text") -> DataFrame:
     """One row: distinct paragraphs of both, common ones, only in a, only in b, precision and coverage."""
@@ -68,19 +75,106 @@ def nearest(a: DataFrame, b: DataFrame, key: str, band: int = 40) -> DataFrame:
     """For each row of a the most similar row of b with the same key whose length differs by at most band.
 
     Likeness is twice the shared characters over all characters, 1 for two empty strings; of equals the smallest id counts.
-    Lengths are binned by the band, so the range join is an equi-join on three bins; characters are numbered once a text,
-    so a pair costs one intersection.
+    Rows are dealt by key and range of length, and a row of b goes to the next range too where that is within the band.
+    Each text travels about once, and pairs are made and scored in the task that holds their range, block by block: no pair
+    is written, and a task holds the texts of one range of one key.
     """
-    size = F.length("text")
-    left = a.select(key, F.col("id").alias("a_id"), size.alias("a_n"), char_tokens(F.col("text")).alias("a_chars")).withColumn("bin", F.explode(F.array(*[F.floor(F.col("a_n") / (band + 1)) + d for d in (-1, 0, 1)])))
-    right = b.select(F.col(key).alias("b_key"), F.col("id").alias("b_id"), size.alias("b_n"), char_tokens(F.col("text")).alias("b_chars"), F.floor(size / (band + 1)).alias("b_bin"))
-    j = left.join(right, (F.col(key) == F.col("b_key")) & (F.col("bin") == F.col("b_bin"))).filter((F.abs(F.col("a_n") - F.col("b_n")) <= band) & (F.col("a_id") != F.col("b_id")))
-    n = F.col("a_n") + F.col("b_n")
-    score = F.round(_likeness(F.col("a_chars"), F.col("b_chars"), n), 6)
-    best = j.groupBy(key, "a_id").agg(F.min(F.struct((-score).alias("minus"), "b_id")).alias("best"))
+    both, n = a is b, F.length("text")
+    cell = F.floor(n / RANGE)
+    known = lambda df: df.filter(F.col(key).isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
+    near = F.sequence(F.floor(F.greatest(n - band, F.lit(0)) / RANGE), F.floor((n + band) / RANGE))
+    right = known(b).select(key, "id", "text", n.alias("n"), cell.alias("own"), F.explode(near).alias("cell"))
+    rows = right.select(key, "cell", "n", "id", "text", (F.lit(both) & (F.col("cell") == F.col("own"))).alias("left"), F.lit(True).alias("right"))
+    if not both:
+        rows = rows.unionByName(known(a).select(key, cell.alias("cell"), n.alias("n"), "id", "text", F.lit(True).alias("left"), F.lit(False).alias("right")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = rows.repartition(key, "cell").sortWithinPartitions(key, "cell", "n")
+    j = dealt.mapInArrow(_nearest_batches(key, band), f"`{key}` {kinds[key]}, a_id {kinds['id']}, b_id {kinds['id']}, score double")
+    best = j.groupBy(key, "a_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "b_id")).alias("best"))  # of repeated rows one is kept
     return best.select(key, "a_id", "best.b_id", (-F.col("best.minus")).alias("score"))
 
 
+def _nearest_batches(key: str, band: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, [key, "cell"]):
+            at, other, millionths = _nearest_in(group, band)
+            ids = group.column("id")
+            yield pa.RecordBatch.from_arrays([group.column(key).take(at), ids.take(at), ids.take(other), pa.array(millionths / 1e6, pa.float64())], [key, "a_id", "b_id", "score"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Cut a stream that is sorted by key columns at key changes; a group that spans batches is carried over."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        marks = list(zip(*columns, strict=True))
+        start = 0
+        for i, mark in enumerate(marks):
+            if mark != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, start, last = [], i, mark
+        held.append(batch.slice(start))
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _nearest_in(group: pa.RecordBatch, band: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Rows of a group sorted by n: places of the left rows that have a match, of their matches, and the score in millionths."""
+    n = group.column("n").to_numpy().astype(np.int64)
+    left = np.flatnonzero(group.column("left").to_numpy(zero_copy_only=False))
+    right = group.column("right").to_numpy(zero_copy_only=False)
+    none = pa.array([], pa.int64()), pa.array([], pa.int64()), np.empty(0)
+    if not len(left) or len(n) < 2:
+        return none
+    ids = group.column("id").to_pylist()
+    place = {x: k for k, x in enumerate(sorted(set(ids)))}
+    rank = np.fromiter((place[x] for x in ids), np.int64, len(ids))
+    text = group.column("text").to_pylist()
+    codes, where = np.unique(np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in text])])
+    wide, kind = max(len(codes), 1), np.uint16 if n[-1] < 1 << 16 else np.uint32
+    step = max(1, BLOCK // wide)  # rows of a block of counts
+
+    def counts(lo: int, hi: int) -> np.ndarray:
+        row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+        return np.bincount(row * wide + where[ends[lo] : ends[hi]], minlength=(hi - lo) * wide).reshape(hi - lo, wide).astype(kind)
+
+    lows, highs = np.searchsorted(n, n - band), np.searchsorted(n, n + band, "right")
+    best, match = np.full(len(n), -1, np.int64), np.zeros(len(n), np.int64)
+    for q in range(0, len(n), step):
+        mine = left[(left >= q) & (left < q + step)]
+        if not len(mine):
+            continue
+        own = counts(q, min(q + step, len(n)))
+        for c in range(int(lows[mine[0]]) // step * step, int(highs[mine[-1]]), step):
+            theirs = own if c == q else counts(c, min(c + step, len(n)))
+            for i in mine:
+                lo, hi = max(int(lows[i]), c), min(int(highs[i]), c + step)
+                if lo >= hi:
+                    continue
+                shared = np.minimum(theirs[lo - c : hi - c], own[i - q]).sum(axis=1, dtype=np.int64)
+                total = n[lo:hi] + n[i]
+                # 2 shared / total, rounded half up to millionths; whole numbers, so that equal ones are equal
+                score = np.where(total == 0, 1_000_000, (4_000_000 * shared + total) // np.maximum(2 * total, 1))
+                score[~right[lo:hi] | (rank[lo:hi] == rank[i])] = -1
+                top = int(score.max())
+                if top < 0 or top < best[i]:
+                    continue
+                ties = lo + np.flatnonzero(score == top)
+                first = int(ties[np.argmin(rank[ties])])
+                if top > best[i] or rank[first] < rank[match[i]]:
+                    best[i], match[i] = top, first
+    found = left[best[left] >= 0]
+    return pa.array(found), pa.array(match[found]), best[found]
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks as a share of all characters; there is no built-in for it."""

@@ -235,6 +235,37 @@ def test_nearest_takes_whole_long_texts(spark):
     assert best["d"] == ("f", 0.0) and "e" not in best
 
 
+def test_nearest_writes_no_pairs_and_crosses_ranges(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(golden, "RANGE", 50)
+    letters = ["abcde", "xyz", "あいう", "𠮷é"]
+    a = [(k % 2, f"a{k}", (letters[k % 4] * 40)[: 13 * k % 121]) for k in range(24)]
+    b = [(k % 2, f"b{k}", (letters[k * 7 % 4] * 40)[: 11 * k % 113]) for k in range(24)] * 2
+    want = {}
+    for key, i, x in a:
+        for other, k, y in b:
+            if key == other and abs(len(x) - len(y)) <= 40:
+                n = len(x) + len(y)
+                score = round(2 * sum((Counter(x) & Counter(y)).values()) / n, 6) if n else 1.0
+                want[i] = min(want.get(i, (0.0, "z")), (-score, k))
+    schema = "doc_id long, id string, text string"
+    got = golden.nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "doc_id")
+    assert {r.a_id: (-r.score, r.b_id) for r in got.collect()} == want and got.count() == len(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_in_blocks_is_nearest_at_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    text = sorted(("ab" * (k % 5) + "c" * (k % 7) for k in range(60)), key=len)
+    group = pa.RecordBatch.from_pydict({"n": [len(x) for x in text], "id": [f"{k % 50}" for k in range(60)], "text": text, "left": [True] * 60, "right": [True] * 60})
+    whole = [np.asarray(c).tolist() for c in golden._nearest_in(group, 3)]
+    monkeypatch.setattr(golden, "BLOCK", 12)
+    assert [np.asarray(c).tolist() for c in golden._nearest_in(group, 3)] == whole
+
+
 def test_fragments_are_found_among_paragraphs(spark):
     df = spark.createDataFrame([(1, "a", "b" * 300), (1, "b", "b" * 299), (2, "c", "b" * 299), (1, "d", "z")], "doc_id long, id string, text string")
     assert [r.id for r in golden.fragments(df, df, ["doc_id"]).collect()] == ["b"]
