@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.functions import fixed as X
 from foliomill.functions import text as t
 
+_WS, _KANA = re.compile(f"[{X.WS}]+"), re.compile(f"[{X.KANA}]")
 MARK = "[tr]"
 ITEMS = "array<struct<id:string,text:string>>"
 
@@ -29,14 +32,32 @@ def run_batches(items: DataFrame, provider: Provider, strict: bool = False) -> D
 
 
 def repair(items: DataFrame, provider: Provider, rounds: int = 3, min_chars: int = 20) -> DataFrame:
-    """Up to some rounds over what is missing, empty or an echo. The number of rounds is fixed, so this loop is one plan."""
-    todo, done = items, None
-    for k in range(rounds):
-        got = run_batches(todo, provider, strict=k > 0).join(todo.select("seg_id", "text"), "seg_id")
-        good = got.filter((F.trim(t.text_of("translation")) != "") & ~t.is_untranslated("text", "translation", min_chars)).select("seg_id", "translation")
-        done = good if done is None else done.unionByName(good)
-        todo = todo.join(good, "seg_id", "left_anti")
-    return done.withColumn("error", F.lit(None).cast("string")).unionByName(todo.select("seg_id", F.lit(None).cast("string").alias("translation"), F.lit("no usable answer").alias("error")))
+    """Up to some rounds over what is missing, empty or an echo. A batch goes through all its rounds at once, so items are
+    dealt once and the provider is called only for what its batch lacks."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        todo, done = p[["seg_id", "text"]], []
+        for k in range(rounds):
+            if todo.empty:
+                break
+            text = dict(zip(todo["seg_id"], todo["text"], strict=True))
+            got = provider(todo, k > 0)
+            good = [(i, x) for i, x in zip(got["seg_id"], got["translation"], strict=True) if isinstance(i, str) and i in text and _usable(text[i], x, min_chars)]
+            have = {i for i, _ in good}
+            done += good
+            todo = todo[[i not in have for i in todo["seg_id"]]].reset_index(drop=True)
+        rows = [(i, x, None) for i, x in done] + [(i, None, "no usable answer") for i in todo["seg_id"]]
+        return pd.DataFrame(rows, columns=["seg_id", "translation", "error"])
+
+    return items.groupBy("batch").applyInPandas(run, "seg_id string, translation string, error string")
+
+
+def _usable(source: str | None, target: str | None, min_chars: int) -> bool:
+    """The rule of text.is_untranslated, and that the target is not empty, for one pair."""
+    if not isinstance(target, str) or not target.strip(" "):
+        return False
+    s = _WS.sub("", source) if isinstance(source, str) else ""
+    return not (s and len(s) >= min_chars and s == _WS.sub("", target) and _KANA.search(s))
 
 
 def parse_response(content: Column) -> Column:

@@ -117,9 +117,13 @@ def response_join(spark, sf):
 @query(PAIR + "SELECT seg_id, CASE WHEN turn % 10 <> 9 THEN 'tr ' || source END AS translation, CASE WHEN turn % 10 = 9 THEN 'no usable answer' END AS error FROM pair")
 def repair_rounds(spark, sf):
     def engine(p: pd.DataFrame, strict: bool) -> pd.DataFrame:
-        turn = p["seg_id"].str.split(":").str[1].astype(int)
-        text = "tr " + p["text"]
-        text = text.where(turn % 10 != 9, "").where(strict | (turn % 3 != 0), p["text"].where(p["text"].str.len() >= 60, ""))
+        def answer(seg_id: str, text: str | None) -> str | None:
+            turn = int(seg_id.split(":")[1])
+            if not strict and turn % 3 == 0:
+                return text if text is not None and len(text) >= 60 else ""
+            return "" if turn % 10 == 9 else None if text is None else "tr " + text
+
+        text = [answer(*x) for x in zip(p["seg_id"], p["text"], strict=True)]
         return pd.DataFrame({"seg_id": p["seg_id"], "translation": text})
 
     items = pairs(spark, sf).select(F.col("conv_id").alias("batch"), "seg_id", F.col("source").alias("text"))

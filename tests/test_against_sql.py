@@ -38,3 +38,24 @@ def test_stream_job_changes_go_into_files_not_through_the_driver(spark, tmp_path
 def test_stream_job_changes_of_no_events(spark, tmp_path):
     none = spark.range(0).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id as user_id", "'' as event_type", "0D as value", "'' as props")
     assert both(spark, tmp_path, "stream_job_changes", {"events": none}) == ([], [])
+
+
+def test_repair_calls_the_provider_once_a_batch_and_round(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from foliomill.operators import provider
+
+    echo, log = "あ" * 30, str(tmp_path / "calls")
+
+    def engine(p, strict):
+        with open(log, "a") as f:
+            f.write(f"{p['seg_id'].tolist()} {strict}\n")
+        return pd.DataFrame({"seg_id": p["seg_id"], "translation": [x if i == "e" and not strict else None if i == "n" else "  " if i == "b" else "ok" for i, x in zip(p["seg_id"], p["text"])]})
+
+    items = spark.createDataFrame([(1, "a", "x"), (1, "e", echo), (1, "n", "x"), (1, "b", "x"), (2, "z", None)], "batch int, seg_id string, text string")
+    got = {r.seg_id: (r.translation, r.error) for r in provider.repair(items, engine).withColumn("k", F.lit(1)).collect()}
+    bad = (None, "no usable answer")
+    assert got == {"a": ("ok", None), "e": ("ok", None), "z": ("ok", None), "n": bad, "b": bad}
+    calls = sorted(open(log).read().splitlines())
+    assert len(calls) == 4 and "['z'] False" in calls and "['e', 'n', 'b'] True" in calls and "['n', 'b'] True" in calls
