@@ -4,6 +4,9 @@
 WS = r"\s\x1c-\x1f\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f"
 
+# What may be white space other than U+0020 or a control character; all of WS and CONTROL but the space is in it.
+NOT_PLAIN = r"[^ -~\u00A1-\u167F\u3001-\uFFFF]"
+
 # Soft hyphen, zero-width space, byte-order mark.
 SOFT = "\u00ad\u200b\ufeff"
 

@@ -80,3 +80,15 @@ def test_tsv_round_trip(spark, texts):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     for r in df.select("x", t.tsv_escape("x").alias("e")).select("x", "e", t.tsv_unescape("e").alias("back")).collect():
         assert r.back == r.x and not set(r.e) & set("\t\n\r")
+
+
+def test_normalize_ws_looks_before_it_replaces(spark):
+    from foliomill.functions import fixed as X
+
+    marks = [chr(c) for c in [*range(0x20), 0x20, 0x7F, 0x85, 0xA0, 0xA1, 0x1680, *range(0x1FFF, 0x2030), 0x202F, 0x205F, 0x2FFF, 0x3000, 0x3001, 0xFEFF, 0x1F600]]
+    texts = [x for m in marks for x in (m, f"a{m}b", f" {m}a", f"a{m} ", f"a {m} b", f"{m}{m}a")] + ["", " ", "a  b", "  a b  ", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    both = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("x", F.lit("")), f"[{X.CONTROL}]", ""), f"[{X.WS}]+", " "))
+    assert df.filter(t.normalize_ws("x") != both).collect() == []
+    plan = df.select(t.normalize_ws("x").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
