@@ -115,19 +115,19 @@ def wide_gaps(rows: DataFrame) -> DataFrame:
 def strip_ruby(chars: DataFrame, ratio: float = 0.75, strong: float = 0.56) -> DataFrame:
     """Characters without inline ruby: runs of two or more small kana, and single very small kana next to a kanji.
 
-    chars: with column h, the page's character height. White space does not break a run.
+    chars: with column h, the page's character height. White space does not break a run: it is windowed apart. A run is
+    longer than one where a neighbour is small too, so one order is enough, and rows are dealt by page once.
     """
-    seen = chars.filter(~F.col("ch").rlike(f"^[{X.WS}]$"))
     high = F.col("y1") - F.col("y0")
     kana = F.col("ch").rlike(f"^[{X.KANA}]$") & (high > 0)
-    w = W.partitionBy("doc_id", "page").orderBy("pos")
-    s = seen.withColumn("small", kana & (high < F.col("h") * ratio)).withColumn("tiny", kana & (high < F.col("h") * strong))
-    s = s.withColumn("run", F.row_number().over(w) - F.row_number().over(W.partitionBy("doc_id", "page", "small").orderBy("pos")))
-    s = s.withColumn("len", F.count(F.lit(1)).over(W.partitionBy("doc_id", "page", "small", "run")))
-    kanji = lambda c: F.coalesce(c.rlike(f"^[{X.KANJI}]$"), F.lit(False))
-    near = kanji(F.lag("ch").over(w)) | kanji(F.lead("ch").over(w))
-    drop = s.withColumn("near", near).filter("small and (len >= 2 or (tiny and near))").select("doc_id", "page", "pos")
-    return chars.join(drop, ["doc_id", "page", "pos"], "left_anti")
+    w = W.partitionBy("doc_id", "page", "_live").orderBy("pos")
+    live = F.coalesce(~F.col("ch").rlike(f"^[{X.WS}]$"), F.lit(False))
+    s = chars.withColumns({"_live": live, "_small": kana & (high < F.col("h") * ratio), "_tiny": kana & (high < F.col("h") * strong), "_kanji": F.col("ch").rlike(f"^[{X.KANJI}]$")})
+    s = s.repartition("doc_id", "page")
+    beside = lambda c: F.coalesce(F.lag(c).over(w), F.lit(False)) | F.coalesce(F.lead(c).over(w), F.lit(False))
+    s = s.withColumns({"_run": beside("_small"), "_near": beside("_kanji")})
+    drop = F.col("_live") & F.col("_small") & (F.col("_run") | (F.col("_tiny") & F.col("_near")))
+    return s.filter(~F.coalesce(drop, F.lit(False))).select(*chars.columns)
 
 
 def matter_by_page(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:

@@ -269,3 +269,11 @@ def test_nearest_in_blocks_is_nearest_at_once(spark, monkeypatch):
 def test_fragments_are_found_among_paragraphs(spark):
     df = spark.createDataFrame([(1, "a", "b" * 300), (1, "b", "b" * 299), (2, "c", "b" * 299), (1, "d", "z")], "doc_id long, id string, text string")
     assert [r.id for r in golden.fragments(df, df, ["doc_id"]).collect()] == ["b"]
+
+
+def test_strip_ruby_deals_rows_once(spark):
+    rows = [(1, 1, k, c, 0.0, h, 12.0) for k, (c, h) in enumerate([("あ", 6.0), (" ", 6.0), ("い", 8.0), ("x", 6.0), ("う", 8.0), ("え", 6.0), ("学", 12.0), ("お", 12.0), ("か", 6.0), (" ", 6.0), ("学", 12.0)])]
+    got = layout.strip_ruby(spark.createDataFrame(rows, "doc_id int, page int, pos int, ch string, y0 double, y1 double, h double"))
+    assert [r.ch for r in got.orderBy("pos").collect()] == [" ", "x", "学", "お", " ", "学"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
